@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewell.llm import text_queries
+from tidewell.llm import posting_queries, text_queries
 from tidewell.session import shipping
 
-MODULES = (text_queries,)
+MODULES = (posting_queries, text_queries)
 
 
 def queries() -> dict:
