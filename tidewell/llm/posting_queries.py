@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.near import expand_pairs, near_duplicates
 from tidewell.llm.places import map_places
 from tidewell.session import table
 
@@ -33,6 +34,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(mapped, "whole").select("rec", "rec_key", "place_id")
 
 
-QUERIES = {"p2_found": p2_found}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "raw_jobs").select(F.col("raw_id").alias("id"), F.col("title").alias("lead"), F.col("description").alias("body"))
+    pairs, members = near_duplicates(texts, size=3, least=0.6, least_words=30)
+    return expand_pairs(pairs, members).select(F.col("a").alias("raw_id_a"), F.col("b").alias("raw_id_b"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
 
 SQL: dict[str, str] = {}
