@@ -86,27 +86,28 @@ SELECT whole, part, state_said, country_said, name FROM (
 
 DECIDE_SQL = """
 WITH refs AS (
-  SELECT DISTINCT place_id, state, country, {plain} AS ref
+  SELECT DISTINCT place_id, lower(city) AS city, state, country, {plain} AS ref
   FROM {{places}} LATERAL VIEW explode(array_union(array(city), coalesce(aliases, array()))) t AS written WHERE place_id IS NOT NULL),
-said AS (SELECT whole, max(state_said) AS state_said, max(country_said) AS country_said FROM {{parsed}} GROUP BY whole),
+said AS (SELECT whole, max(state_said) AS state_said, max(country_said) AS country_said, max(name) AS name FROM {{parsed}} GROUP BY whole),
 fits AS (
-  SELECT p.whole, r.place_id, min(m.edits) AS edits, any_value(r.state) AS state, any_value(r.country) AS country
+  SELECT p.whole, r.place_id, min(m.edits) AS edits, any_value(r.state) AS state, any_value(r.country) AS country, any_value(r.city) AS city
   FROM {{parsed}} p JOIN {{matches}} m ON p.name = m.name JOIN refs r ON m.ref = r.ref GROUP BY p.whole, r.place_id),
 scored AS (
-  SELECT f.whole, f.place_id, f.edits,
+  SELECT f.whole, f.place_id, f.edits, f.city,
     CASE WHEN s.state_said IS NOT NULL THEN if(f.state = s.state_said, 2, 0) WHEN s.country_said IS NOT NULL THEN if(f.country = s.country_said, 1, 0) ELSE 0 END AS backed
   FROM fits f JOIN said s ON f.whole = s.whole),
 ranked AS (
   SELECT *, rank() OVER (PARTITION BY whole ORDER BY edits, backed DESC) AS nth FROM scored),
-found AS (SELECT whole, if(count(*) = 1, max(place_id), -1) AS place_id, min(edits) AS edits FROM ranked WHERE nth = 1 GROUP BY whole)
-SELECT whole, place_id, edits FROM found
+found AS (SELECT whole, if(count(*) = 1, max(place_id), -1) AS place_id, min(edits) AS edits, min(city) AS named FROM ranked WHERE nth = 1 GROUP BY whole)
+SELECT whole, place_id, edits, named FROM found
 UNION ALL
-SELECT s.whole, CAST(-1 AS bigint), CAST(NULL AS int) FROM said s LEFT ANTI JOIN found f ON s.whole = f.whole
+SELECT s.whole, CAST(-1 AS bigint), CAST(NULL AS int), nullif(s.name, '') FROM said s LEFT ANTI JOIN found f ON s.whole = f.whole
 """.replace("{plain}", _plain("written").replace("{", "{{").replace("}", "}}")).replace("{{", "{").replace("}}", "}")
 
 
 def map_places(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """(whole, place_id bigint, edits) for each distinct `whole` of texts.
+    """(whole, place_id bigint, edits, named) for each distinct `whole` of texts; named: the city meant, or what
+    is written where no listed place is meant, null where that is nothing.
 
     texts: whole (key of a value as a whole), part (name of its field), txt. Fields are read together: each
     may name the place or only its state or country. The nearest reference string wins, then what state and

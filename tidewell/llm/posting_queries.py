@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.history import repeats
+from tidewell.llm.matching import match_across, matched
 from tidewell.llm.near import expand_pairs, near_duplicates
 from tidewell.llm.places import map_places
-from tidewell.session import table
+from tidewell.llm.vacancies import vacancy_fields
+from tidewell.session import staged, table
 
 
 def raw_places(raw: DataFrame, places: DataFrame) -> DataFrame:
@@ -40,6 +43,45 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return expand_pairs(pairs, members).select(F.col("a").alias("raw_id_a"), F.col("b").alias("raw_id_b"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
+FIELDS = ("title", "company", "location_raw", "posted_at_raw", "scraped_at")
+
+
+def first_rows(raw: DataFrame, key: Column) -> DataFrame:
+    """The lowest raw_id of each (source, key), with the columns a vacancy is told by."""
+    first = F.min_by(F.struct(*FIELDS), "raw_id").alias("r")
+    return raw.groupBy("source", key.alias("_key")).agg(F.min("raw_id").alias("id"), first).select("id", "source", *(f"r.{c}" for c in FIELDS))
+
+
+def p5_scored(spark: SparkSession, d: str) -> DataFrame:
+    rows = staged(first_rows(table(spark, d, "raw_jobs"), F.col("source_id")), "first-rows")
+    fields = staged(vacancy_fields(rows, table(spark, d, "places"), table(spark, d, "source_settings")), "vacancies")
+    return match_across(fields)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return matched(p5_scored(spark, d)).select(F.col("a").alias("raw_id_a"), F.col("b").alias("raw_id_b"))
+
+
+def posting_key() -> Column:
+    """The board's number of a posting, whatever is written around it; else the number in its url; else the
+    row stands alone."""
+    number = lambda c, rx: F.nullif(F.regexp_replace(F.regexp_extract(c, rx, 1), "^0+", ""), F.lit(""))
+    return F.coalesce(number(F.col("source_id"), r"(\d{3,})"), number(F.col("url"), r"/job/(?:[^/?#]*-)?(\d{3,})"), F.nullif(F.trim("source_id"), F.lit("")), F.concat(F.lit("row "), F.col("raw_id").cast("string")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "raw_jobs")
+    rows = staged(first_rows(raw, posting_key()), "first-rows")
+    postings = staged(vacancy_fields(rows, table(spark, d, "places"), table(spark, d, "source_settings")), "vacancies")
+    # Two deliveries of about as many rows: the second is held against filters and store of the first.
+    middle = postings.agg(F.percentile_approx("id", 0.5)).first()[0] or 0
+    first = repeats(postings, [F.col("id") <= middle, F.col("id") > middle])
+    keyed = raw.select("raw_id", "source", posting_key().alias("_key"))
+    numbers = keyed.groupBy("source", "_key").agg(F.min("raw_id").alias("id"))
+    lowest = numbers.join(first, "id").select("source", "_key", "first")
+    return keyed.join(lowest, ["source", "_key"]).filter("raw_id > first").select(F.col("first").alias("raw_id_a"), F.col("raw_id").alias("raw_id_b"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found}
 
 SQL: dict[str, str] = {}
