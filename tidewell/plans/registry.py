@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewell.plans import data_queries
+from tidewell.plans import data_queries, posting_plans
 from tidewell.session import shipping
 
-MODULES = (data_queries,)
+MODULES = (data_queries, posting_plans)
 
 
 def queries() -> dict:
