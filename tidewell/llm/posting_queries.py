@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm import places as L
 from tidewell.llm.history import repeats
 from tidewell.llm.matching import match_across, matched
 from tidewell.llm.near import expand_pairs, near_duplicates
@@ -84,4 +85,45 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found}
 
-SQL: dict[str, str] = {}
+
+
+def _words_sql(column: str, groups: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '\\b({words})\\b') THEN '{code}'" for code, words in groups.items()) + " END"
+
+
+def _places_sql() -> str:
+    """Brute force: every written name against every reference string."""
+    plain = lambda c: f"trim(regexp_replace(regexp_replace(translate(lower({c}), '{L.ACCENTED[0]}', '{L.ACCENTED[1]}'), '[.''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+    words = sorted("|".join([*L.STATES.values(), *L.COUNTRIES.values(), L.NOISE, "[0-9]+"]).split("|"), key=lambda w: (-len(w), w))
+    name = f"regexp_replace(regexp_replace(t, '\\b({'|'.join(words)})\\b', ' ', 'g'), '^ *pt\\b', 'port')"
+    for short, full in L.ABBREVIATIONS.items():
+        name = f"regexp_replace({name}, '\\b{short}\\b', '{full}', 'g')"
+    return rf"""
+WITH rows AS (
+  SELECT 'raw_jobs' AS rec, CAST(raw_id AS varchar) AS rec_key, [location_raw] AS parts FROM raw_jobs WHERE trim(regexp_replace(location_raw, '[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+', ' ', 'g')) <> ''
+  UNION ALL SELECT 'jobs', id, [coalesce(job_location.raw, ''), job_location.city, job_location.state, job_location.country] FROM jobs),
+texts AS (SELECT DISTINCT part, {plain('part')} AS t FROM (SELECT unnest(parts) AS part FROM rows) WHERE part IS NOT NULL),
+parsed AS (SELECT part, {_words_sql('t', L.STATES)} AS st, {_words_sql('t', L.COUNTRIES)} AS co, trim(regexp_replace({name}, ' +', ' ', 'g')) AS name FROM texts),
+refs AS (SELECT DISTINCT place_id, state, country, {plain('written')} AS ref FROM (SELECT place_id, state, country, unnest(list_concat([city], coalesce(aliases, []))) AS written FROM places)),
+names AS (SELECT DISTINCT name FROM parsed WHERE name <> ''),
+near AS (SELECT name, place_id, min(levenshtein(name, ref)) AS edits FROM names, refs WHERE levenshtein(name, ref) <= 2 GROUP BY ALL),
+said AS (SELECT r.rec, r.rec_key, max(p.st) AS st, max(p.co) AS co FROM (SELECT rec, rec_key, unnest(parts) AS part FROM rows) r JOIN parsed p USING (part) GROUP BY ALL),
+fits AS (SELECT r.rec, r.rec_key, n.place_id, min(n.edits) AS edits FROM (SELECT rec, rec_key, unnest(parts) AS part FROM rows) r JOIN parsed p USING (part) JOIN near n USING (name) GROUP BY ALL),
+ranked AS (
+  SELECT f.*, rank() OVER (PARTITION BY f.rec, f.rec_key ORDER BY f.edits, CASE WHEN s.st IS NOT NULL THEN CASE WHEN q.state = s.st THEN 2 ELSE 0 END WHEN s.co IS NOT NULL THEN CASE WHEN q.country = s.co THEN 1 ELSE 0 END ELSE 0 END DESC) AS nth
+  FROM fits f JOIN said s USING (rec, rec_key) JOIN (SELECT place_id, state, country FROM places) q USING (place_id)),
+best AS (SELECT rec, rec_key, CASE WHEN count(*) = 1 THEN max(place_id) ELSE -1 END AS place_id FROM ranked WHERE nth = 1 GROUP BY ALL)
+SELECT rec, rec_key, coalesce(place_id, -1) AS place_id FROM rows LEFT JOIN best USING (rec, rec_key)
+"""
+
+
+SQL = {
+    "p2_found": _places_sql(),
+    "p3_found": r"""
+WITH d AS (SELECT raw_id, regexp_extract_all(lower(concat(coalesce(title, ''), ' ', description)), '[a-z0-9]+') AS w FROM raw_jobs WHERE len(regexp_extract_all(lower(description), '[a-z0-9]+')) >= 30),
+s AS (SELECT raw_id, list_distinct(list_transform(range(1, len(w) - 1), lambda k: hash(array_to_string(w[k:k + 2], ' ')))) AS g FROM d),
+e AS (SELECT raw_id, len(g) AS n, unnest(g) AS h FROM s),
+p AS (SELECT a.raw_id AS raw_id_a, b.raw_id AS raw_id_b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.raw_id < b.raw_id GROUP BY ALL)
+SELECT raw_id_a, raw_id_b FROM p WHERE c >= 0.6 * (na + nb - c)
+""",
+}
