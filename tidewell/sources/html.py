@@ -11,6 +11,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def element_at(html: str, tag: str, start: int) -> str | None:
@@ -92,21 +93,21 @@ def embedded_description(html: str | None, posting_id: str | None, least: int =
     return longest(data)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def cards_of(html: pd.Series) -> pd.Series:
     return html.map(cards)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def posting_ld_of(html: pd.Series) -> pd.Series:
     return html.map(posting_ld)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def marked_div_of(html: pd.Series, marker: pd.Series) -> pd.Series:
     return pd.Series([marked_div(h, m) for h, m in zip(html, marker)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def embedded_description_of(html: pd.Series, posting_id: pd.Series) -> pd.Series:
     return pd.Series([embedded_description(h, p) for h, p in zip(html, posting_id)])
