@@ -22,8 +22,10 @@ SHORT = {
 RANKS = ["senior", "lead", "principal", "junior", "graduate", "head", "chief"]
 TITLE_NOISE = ["urgent", "immediate", "start", "hiring", "now", "apply", "remote", "hybrid", "contract", "the", "and", "a", "of", "for"]
 COMPANY_NOISE = ["pty", "ltd", "limited", "group", "holdings", "holding", "services", "australia", "aus", "inc", "llc", "plc", "corp", "company", "co", "the", "and", "nz"]
-#: A word is mended to one that is at least so many times as frequent.
+#: A word is mended to one that is at least so many times as frequent,
 RATIO = 8
+#: and that makes up at least one in so many rows.
+RARE = 20_000
 
 
 def _folded(c: str) -> Column:
@@ -50,9 +52,11 @@ def company_words(c: str) -> Column:
 def mended(values: DataFrame) -> DataFrame:
     """values: kind, raw, rows, words. (kind, raw, words) with misspelled words mended: to a word of the same
     kind within two edits (one below six letters; a swap of neighbours counts as one) that is RATIO times as
-    frequent, the nearest first, then the most frequent. Words of three letters stay as they are."""
+    frequent and not rare itself, the nearest first, then the most frequent. Words of three letters stay as
+    they are."""
     counts = staged(values.select("kind", "rows", F.explode("words").alias("word")).groupBy("kind", "word").agg(F.sum("rows").alias("n")), "words")
-    refs = counts.filter(F.col("n") >= RATIO).select(F.hash("word").cast("long").alias("place_id"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("country"), F.col("word").alias("city"), F.array().cast("array<string>").alias("aliases"))
+    totals = values.groupBy("kind").agg(F.sum("rows").alias("all"))  # a row for each kind
+    refs = counts.join(F.broadcast(totals), "kind").filter(F.col("n") >= F.greatest(F.lit(RATIO), F.col("all") / RARE)).select(F.hash("word").cast("long").alias("place_id"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("country"), F.col("word").alias("city"), F.array().cast("array<string>").alias("aliases"))
     near = match_names(counts.filter(F.length("word") >= 4).select(F.col("word").alias("name")), refs).filter("name <> ref")
     swapped = F.expr("edits = 2 and length(name) = length(ref) and array_sort(split(name, '')) = array_sort(split(ref, ''))")
     near = near.withColumn("edits", F.when(swapped, 1).otherwise(F.col("edits"))).filter((F.col("edits") == 1) | (F.length("name") >= 6))
