@@ -28,8 +28,12 @@ BLOCKS = SYMBOLS // BLOCK
 HAMMING = 44
 
 _random = np.random.RandomState(20260101)
-_A = (_random.randint(0, 1 << 31, SYMBOLS).astype(np.uint32) * 2 + 1)[:, None]
-_B = _random.randint(0, 1 << 31, SYMBOLS).astype(np.uint32)[:, None]
+_A = _random.randint(0, 1 << 31, SYMBOLS).astype(np.uint32) * 2 + 1
+_B = _random.randint(0, 1 << 31, SYMBOLS).astype(np.uint32)
+#: Shingles hashed in one go; bounds a worker's memory on very long texts.
+SPAN = 4096
+#: Fingerprints cut into blocks in one go.
+TOGETHER = 512
 _codes: dict[str, int] = {}
 
 
@@ -43,26 +47,35 @@ def _code(word: str) -> int:
 
 
 def shingle_hashes(words: list[str], size: int) -> np.ndarray:
-    """32-bit hashes of the runs of `size` words, each once; of all words if there are fewer."""
+    """32-bit hashes of the runs of `size` words; of all words if there are fewer."""
     codes = np.fromiter(map(_code, words), np.uint64, len(words))
     size = min(size, len(codes))
     h = np.zeros(len(codes) - size + 1, np.uint64)
     for j in range(size):
         h = (h ^ codes[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return np.unique((h >> np.uint64(32)).astype(np.uint32))
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def fingerprint(shingles: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """Block hashes (int32) and the two halves of the sketch (int64)."""
-    least = (shingles[None, :] * _A + _B).min(axis=1)
+def symbols(shingles: np.ndarray) -> np.ndarray:
+    """The minimum of every hash function over the shingles, SPAN shingles at a time."""
+    least = np.full(SYMBOLS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(shingles), SPAN):
+        hashed = shingles[at : at + SPAN, None] * _A
+        hashed += _B
+        np.minimum(least, hashed.min(axis=0), out=least)
+    return least
+
+
+def prints_of(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Block hashes (int32) and the two halves of the sketch (int64) of fingerprints, a row for each."""
     mixed = (least ^ (least >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    blocks = np.zeros(BLOCKS, np.uint32)
-    for part in mixed.reshape(BLOCKS, BLOCK).T:
-        blocks = (blocks ^ part) * np.uint32(0xC2B2AE35)
+    blocks = np.zeros((len(mixed), BLOCKS), np.uint32)
+    for j in range(BLOCK):
+        blocks = (blocks ^ mixed[:, j::BLOCK]) * np.uint32(0xC2B2AE35)
         blocks ^= blocks >> np.uint32(13)
-    bits = np.packbits(((mixed[:128] >> np.uint32(9)) & np.uint32(1)).astype(np.uint8)).view(np.int64)
-    return blocks.view(np.int32), int(bits[0]), int(bits[1])
+    bits = np.packbits(((mixed[:, :128] >> np.uint32(9)) & np.uint32(1)).astype(np.uint8), axis=1)
+    return blocks.view(np.int32), np.ascontiguousarray(bits).view(np.int64)
 
 
 def fingerprints(texts: DataFrame, size: int, least_words: int) -> DataFrame:
@@ -72,23 +85,24 @@ def fingerprints(texts: DataFrame, size: int, least_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[int] = []
-            c1, c2, s1, s2, blocks = [], [], [], [], []
+            c1, c2, least, parts = [], [], [], []
             for i, (lead, body) in enumerate(zip(_strings(batch.column(1)), _strings(batch.column(2)))):
                 words = words_of(body)
                 if len(words) < least_words:
                     continue
                 words = words_of(lead) + words
                 digest = xxhash.xxh3_128_digest(" ".join(words))
-                print_, one, two = fingerprint(shingle_hashes(words, size))
                 rows.append(i)
                 c1.append(int.from_bytes(digest[:8], "big", signed=True))
                 c2.append(int.from_bytes(digest[8:], "big", signed=True))
-                s1.append(one)
-                s2.append(two)
-                blocks.append(print_)
-            flat = pa.array(np.concatenate(blocks) if blocks else np.zeros(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BLOCKS), flat)
-            longs = [pa.array(v, pa.int64()) for v in (c1, c2, s1, s2)]
+                least.append(symbols(shingle_hashes(words, size)))
+                if len(least) == TOGETHER:
+                    parts.append(prints_of(np.array(least)))
+                    least = []
+            parts.append(prints_of(np.array(least, np.uint32).reshape(-1, SYMBOLS)))
+            blocks, sketch = (np.concatenate(x) for x in zip(*parts))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BLOCKS), pa.array(blocks.ravel()))
+            longs = [pa.array(v, pa.int64()) for v in (c1, c2, sketch[:, 0], sketch[:, 1])]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *longs, lists], names=["id", "c1", "c2", "s1", "s2", "blocks"])
 
     ready = texts.select(F.col("id").cast("long"), F.coalesce("lead", F.lit("")).alias("lead"), "body").filter(F.col("id").isNotNull() & (F.length("body") >= 2 * least_words - 1))
