@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import collapse, stripped, word
+from tidewell.functions.text import bound, collapse, stripped, word
 
 # Words without identity in names of firms and in titles.
 COMPANY_NOISE = "pty ltd limited inc llc group holdings australia australian aus au recruitment recruiting consulting technologies technology solutions services international global"
@@ -82,8 +85,12 @@ def country(text: Column) -> Column:
 
 def location(raw: Column, remote_hint: Column) -> Column:
     """struct<raw, city, state, country, remote> of a location label."""
-    text = collapse(raw)
-    low = F.lower(text)
+    flat = collapse(raw)
+    return bound(F.struct(flat.alias("text"), F.lower(flat).alias("low"), F.coalesce(remote_hint, F.lit(False)).alias("hint")), _location_of)
+
+
+def _location_of(t: Column) -> Column:
+    text, low = t["text"], t["low"]
     state = F.coalesce(*(F.when(low.rlike(rf"(^|[\s,(/-]){name}($|[\s,)/-])"), code) for name, code in STATE_WORDS))
     first = F.trim(F.split(text, r"[,|]")[0])
     names = F.array(*(F.lit(n) for n, _ in STATE_WORDS))
@@ -92,7 +99,7 @@ def location(raw: Column, remote_hint: Column) -> Column:
         F.when((first != "") & ~F.array_contains(names, F.lower(first)), first),
     )
     by_city = F.coalesce(*(F.when(F.lower(city) == n, s) for n, s in CITY_STATE))
-    remote = F.coalesce(remote_hint, F.lit(False)) | low.rlike(word("remote|work from home|wfh|anywhere"))
+    remote = t["hint"] | low.rlike(word("remote|work from home|wfh|anywhere"))
     return F.struct(text.alias("raw"), city.alias("city"), F.coalesce(state, by_city).alias("state"), country(text).alias("country"), remote.alias("remote"))
 
 
@@ -106,7 +113,10 @@ PERIODS = (
 def salary_label(raw: Column) -> Column:
     """struct<pay_min, pay_max, period> of a label; null where it states no figure. Figures below 1000 count
     only with a currency, a k or a period; the largest one decides a period that is not stated."""
-    text = stripped(F.regexp_replace(F.lower(raw), "[–—]", "-"))
+    return bound(stripped(F.regexp_replace(F.lower(raw), "[–—]", "-")), _salary_of)
+
+
+def _salary_of(text: Column) -> Column:
     border = lambda rx: rf"(^|[^a-z0-9_])({rx})([^a-z0-9_]|$)"
     said = F.coalesce(*(F.when(text.rlike(border(rx) if kind != "day" and kind != "hour" else rf"{border(rx.split('|/')[0])}|{rx[rx.index('|/') + 1 :]}"), kind) for kind, rx in PERIODS), F.lit("unknown"))
     named = text.rlike(border("aud|nzd|usd"))
@@ -172,12 +182,37 @@ TAGS = (
 )
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """Alternatives of a pattern outside its brackets."""
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def _literal(alternative: str) -> str:
+    """What every match of an alternative begins with."""
+    m = re.match(r"(?:\\b)?((?:[a-z0-9#/ -]|\\\.)*)(.?)", alternative)
+    return (m[1][:-1] if m[2] == "?" else m[1]).replace("\\.", ".")
+
+
 def tags(title: Column, *bodies: Column) -> Column:
-    """Tags whose pattern occurs, in the order of the list; seniority is read from the title only."""
-    head = F.coalesce(F.lower(title), F.lit(""))
-    whole = F.lower(F.concat_ws(" \n ", F.nullif(title, F.lit("")), *(F.nullif(b, F.lit("")) for b in bodies)))
-    ascii_ = lambda rx: rx.replace(r"\b", r"(?:(?<![a-z0-9_])(?=[a-z0-9_])|(?<=[a-z0-9_])(?![a-z0-9_]))")
-    return F.array_compact(F.array(*(F.when((head if only else whole).rlike(ascii_(rx)), F.lit(tag)) for tag, rx, only in TAGS)))
+    """Tags whose pattern occurs, in the order of the list; seniority is read from the title only. Word borders
+    are those of ASCII: other letters count as none. A pattern runs only where its literals occur."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\x00-\x7F]", "!")
+    head = F.coalesce(plain(title), F.lit(""))
+    whole = plain(F.concat_ws(" \n ", F.nullif(title, F.lit("")), *(F.nullif(b, F.lit("")) for b in bodies)))
+
+    def found(text: Column, pattern: str) -> Column:
+        near = [F.contains(text, F.lit(_literal(a))) for a in _alternatives(pattern)]
+        return functools.reduce(lambda x, y: x | y, near) & text.rlike(pattern)
+
+    each = lambda t: F.array_compact(F.array(*(F.when(found(t["head"] if only else t["whole"], rx), F.lit(tag)) for tag, rx, only in TAGS)))
+    return bound(F.struct(head.alias("head"), whole.alias("whole")), each)
 
 
 def file_part(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import content_words, jaccard, normal_sentence, numbers_in, sentences, trigrams
+from tidewell.functions.text import content_words, normal_sentence, numbers_in, sentences, trigrams
 
 
 def sentence_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,22 +23,20 @@ def reused_sentences(texts: DataFrame, corpus: DataFrame, key: str, corpus_key:
 
 def similar_sentences(texts: DataFrame, corpus: DataFrame, key: str, corpus_key: str, text: str = "text", least: float = 0.5, least_words: int = 10) -> DataFrame:
     """(key, corpus_key, norm, corpus_norm, similarity): sentences of at least so many words whose trigram
-    sets are at least so similar. Distinct sentences meet through shared trigrams of a prefix: of two sets
-    with Jaccard >= least each shares one of the first n - ceil(least * n) + 1 trigrams, taken in the order of
-    their frequency in the corpus, rarest first."""
+    sets are at least so similar. Distinct sentences meet through a prefix of the corpus sentence: a set with
+    Jaccard >= least to it holds one of any n - ceil(least * n) + 1 of its n trigrams."""
     long = lambda rows: rows.filter(F.size(F.split("norm", " ")) >= least_words)
     mine, theirs = long(sentence_rows(texts, key, text)), long(sentence_rows(corpus, corpus_key, text))
     a = mine.select("norm").distinct().withColumn("g", trigrams(F.col("norm")))
     b = theirs.select("norm").distinct().withColumn("g", trigrams(F.col("norm")))
+    # The first n - ceil(least * n) + 1 trigrams of a corpus sentence, rarest in the corpus first.
     counts = b.select(F.explode("g").alias("t")).groupBy("t").count()
-
-    def prefix(rows: DataFrame, name: str) -> DataFrame:
-        ranked = rows.select("norm", F.size("g").alias("n"), F.explode("g").alias("t")).join(counts, "t", "left")
-        ordered = ranked.groupBy("norm", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "t"))).alias("ts"))
-        return ordered.select(F.col("norm").alias(name), F.explode(F.slice(F.col("ts.t"), 1, (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))).alias("t"))
-
-    met = prefix(a, "norm").join(prefix(b, "corpus_norm"), "t").select("norm", "corpus_norm").distinct()
-    scored = met.withColumn("similarity", jaccard(trigrams(F.col("norm")), trigrams(F.col("corpus_norm")))).filter(F.col("similarity") >= least)
+    ranked = b.select("norm", F.size("g").alias("n"), F.explode("g").alias("t")).join(counts, "t").groupBy("norm", "n").agg(F.array_sort(F.collect_list(F.struct("count", "t"))).alias("ts"))
+    prefix = ranked.select(F.col("norm").alias("corpus_norm"), F.explode(F.slice(F.col("ts.t"), 1, (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))).alias("t"))
+    met = a.select("norm", F.explode("g").alias("t")).join(prefix, "t").select("norm", "corpus_norm").distinct()
+    sets = met.withColumn("x", trigrams(F.col("norm"))).withColumn("y", trigrams(F.col("corpus_norm")))
+    both = F.size(F.array_intersect("x", "y"))
+    scored = sets.withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("x") + F.size("y") - F.col("both"))).filter(F.col("similarity") >= least).select("norm", "corpus_norm", "similarity")
     return (
         mine.select(key, "norm").distinct().join(scored, "norm")
         .join(theirs.select(corpus_key, F.col("norm").alias("corpus_norm")).distinct(), "corpus_norm").select(key, corpus_key, "norm", "corpus_norm", "similarity")
