@@ -79,6 +79,8 @@ def test_times_over_odd_rows(spark):
     assert sorted((r.id, r.t) for r in out if r.t) == [(1, "2026-04-03T00:00:00.000Z"), (2, "2026-03-04T00:00:00.000Z"), (3, "2026-04-13T00:00:00.000Z"), (5, "2026-01-01T00:00:00.000Z"), (5, "2026-01-01T00:00:00.000Z")]
     assert len(out) == 6
     assert normalise_times(rows.limit(0), settings, ["id"], "stamp", "scraped_at").count() == 0
+    clash = rows.withColumns({c: F.lit("x") for c in ("tz", "date_order", "value", "sig", "form", "posted_at", "scraped_us")})
+    assert normalise_times(clash, settings, ["id"], "stamp", "scraped_at").count() == 6
 
 
 @pytest.mark.parametrize(
@@ -127,6 +129,8 @@ def test_convert_pay(spark):
     out = {r.k: (r.year_min, r.year_max) for r in convert_pay(rows, factors, settings, ["k"]).collect()}
     assert out == {"1": (98800, 98800), "3": (91740, 91740), "4": (157691, 171318), "5": (-1, 93000), "6": (-1, -1)}
     assert convert_pay(rows.limit(0), factors, settings, ["k"]).count() == 0
+    clash = rows.withColumns({c: F.lit("x") for c in ("fallback", "year_min", "_cf", "unit_code", "is_field")})
+    assert convert_pay(clash, factors, settings, ["k"]).count() == 5
 
 
 def test_hash_is_sparks(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import postings as P
 from tidewell.functions import text as X
-from tidewell.operators import corpus, merge, resolve, runs, status, tables
+from tidewell.operators import corpus, merge, resolve, runs, status, tables, writeback
 from tidewell.operators.connect import lowest_linked
 
 
@@ -202,3 +202,23 @@ def test_unfounded_numbers(spark):
     texts = spark.createDataFrame([(1, "Cut build times by 40 percent. Led 7 nurses."), (2, "no numbers"), (3, None)], "doc_id long, text string")
     facts = spark.createDataFrame([("reduced the build time by 40",), ("7 apples",)], "fact string")
     assert {tuple(r) for r in corpus.unfounded_numbers(texts, facts, "doc_id").collect()} == {(1, "7")}
+
+
+def test_write_back(spark):
+    state = spark.createDataFrame([("a", "new", 1), ("b", None, 2), ("c", "good", 3)], "id string, st string, n int")
+    said = spark.createDataFrame([("a", "good"), ("b", "good"), ("c", "good"), ("z", "good"), ("a", None)], "id string, v string")
+    judged = writeback.judge(state, said, "id", "st", "v", [("new", "good")])
+    assert {tuple(r) for r in judged.collect()} == {
+        ("a", "good", None), ("b", "good", "cannot move from  to good"), ("c", "good", "already good"), ("z", "good", "unknown id"), ("a", "", "cannot move from new to "),
+    }
+    assert {tuple(r) for r in writeback.write_back(state, judged, "id", "st", "v").collect()} == {("a", "good", 1), ("b", None, 2), ("c", "good", 3)}
+
+
+def test_checks(spark):
+    now, old = datetime(2026, 1, 2), datetime(2026, 1, 1)
+    rows = spark.createDataFrame([("a", None, None), ("b", now, None), ("c", old, None), ("d", old, old)], "id string, checked_at timestamp, expired_at timestamp")
+    at = F.lit(now)
+    assert {r.id for r in writeback.due(rows, "checked_at", at, 6, F.col("expired_at").isNull()).collect()} == {"a", "c"}
+    pages = spark.createDataFrame([("a", 404, None), ("b", 500, None), ("c", 200, "open")], "id string, status int, html string")
+    got = {r.id: (r.checked_at, r.expired_at) for r in writeback.mark_checked(rows, pages, "id", F.lit("open"), at).collect()}
+    assert got == {"a": (now, now), "b": (now, None), "c": (now, None), "d": (old, old)}

@@ -61,7 +61,8 @@ def convert_pay(rows: DataFrame, factors: DataFrame, settings: DataFrame, keys:
     """
     types = dict(rows.dtypes)
     fallback = settings.groupBy("source").agg(F.min("currency").alias("fallback"))
-    slim = rows.join(fallback, "source", "left").select(
+    asked = rows.select(*keys, "source", "kind", "raw", "low", "high", "currency", "period")
+    slim = asked.join(fallback, "source", "left").select(
         *keys, "kind", F.col("raw").cast("string").alias("raw"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"),
         F.col("currency").cast("string").alias("currency"), F.col("period").cast("string").alias("period"), "fallback",
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import postings as P
 from tidewell.functions import text as X
-from tidewell.operators import corpus, merge, resolve, runs, status, tables
+from tidewell.operators import corpus, merge, resolve, runs, status, tables, writeback
 from tidewell.session import table
 
 NOW = "2026-11-01 00:00:00"
@@ -330,6 +330,32 @@ def last_status(spark, d):
     return status.last_event(table(spark, d, "status_events"))
 
 
+_VERDICTS = """v AS (SELECT job_id, coalesce(t.to_status, '') AS to_status FROM (SELECT job_id, max({'a': event_at, 'b': seq, 'to_status': to_status}) AS t FROM status_events GROUP BY 1)),
+j AS (SELECT v.job_id, v.to_status, CASE WHEN jobs.id IS NULL THEN 'unknown id' WHEN coalesce(pipeline_status, '') = to_status THEN concat('already ', to_status)
+  WHEN concat(coalesce(pipeline_status, ''), '>', to_status) NOT IN ('scraped>fit_good', 'scraped>fit_bad', 'fit_good>tracked', 'fit_good>applied', 'tracked>applied')
+  THEN concat('cannot move from ', coalesce(pipeline_status, ''), ' to ', to_status) END AS reason FROM v LEFT JOIN jobs ON v.job_id = jobs.id)"""
+
+
+def _judged(spark, d):
+    verdicts = last_status(spark, d).withColumnRenamed("job_id", "id")
+    return writeback.judge(jobs(spark, d), verdicts, "id", "pipeline_status", "to_status", EDGES)
+
+
+@query(f"WITH {_VERDICTS} SELECT job_id AS id, to_status, coalesce(reason, '') AS reason FROM j")
+def verdict_reasons(spark, d):
+    return _judged(spark, d).select("id", "to_status", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query(f"WITH {_VERDICTS} SELECT jobs.id, coalesce(j.to_status, pipeline_status) AS pipeline_status FROM jobs LEFT JOIN (SELECT * FROM j WHERE reason IS NULL) j ON j.job_id = jobs.id")
+def verdict_write_back(spark, d):
+    return writeback.write_back(jobs(spark, d).select("id", "pipeline_status"), _judged(spark, d), "id", "pipeline_status", "to_status")
+
+
+@query(f"SELECT id FROM jobs WHERE NOT closed AND expired_at IS NULL AND epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(last_seen_at) >= 720 * 3600000000")
+def due_for_check(spark, d):
+    return writeback.due(jobs(spark, d), "last_seen_at", F.lit(NOW).cast("timestamp"), 720, ~F.col("closed") & F.col("expired_at").isNull()).select("id")
+
+
 @query("SELECT pipeline_status, count(*) AS n FROM jobs GROUP BY 1")
 def stats_by_status(spark, d):
     return jobs(spark, d).groupBy("pipeline_status").agg(F.count(F.lit(1)).alias("n"))

@@ -71,6 +71,7 @@ def posting_ld(html: str | None) -> str | None:
     return None
 
 
+# Names under which pages keep the text of an advertisement.
 DESCRIPTION_KEYS = ("content", "description", "jobAdDetails", "adDetails")
 
 
