@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -40,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
     unset (tests, local runs) a temporary folder is made."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tidewell-")
+        folder = tempfile.mkdtemp(prefix="tidewell-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
@@ -68,7 +72,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="tidewell-code-")) / "tidewell_code.zip"
+    folder = tempfile.mkdtemp(prefix="tidewell-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "tidewell_code.zip"
     with zipfile.ZipFile(target, "w") as archive:
         for source in sorted(root.rglob("*.py")):
             archive.write(source, source.relative_to(root.parent))
