@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tidewell.session import staged
+
 EDITS = 2
 
 # Spellings of states and countries, after dots are dropped and white space is one space.
@@ -115,6 +117,7 @@ def map_places(texts: DataFrame, places: DataFrame) -> DataFrame:
     name nothing; an empty list matches nothing.
     """
     spark = texts.sparkSession
-    parsed = spark.sql(ROWS_SQL, texts=texts)
-    matches = match_names(parsed.filter("name <> ''").select("name"), places)
+    # Written out: both are read several times, and small beside what they are worked out from.
+    parsed = staged(spark.sql(ROWS_SQL, texts=texts), "place-names")
+    matches = staged(match_names(parsed.filter("name <> ''").select("name"), places), "place-matches")
     return spark.sql(DECIDE_SQL, parsed=parsed, matches=matches, places=places)

@@ -80,7 +80,7 @@ def vacancy_fields(rows: DataFrame, places: DataFrame, settings: DataFrame) -> D
     """
     titles = rows.groupBy(F.coalesce("title", F.lit("")).alias("raw")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("title").alias("kind"), "raw", "rows", title_words("raw").alias("words"))
     firms = rows.groupBy(F.coalesce("company", F.lit("")).alias("raw")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("company").alias("kind"), "raw", "rows", company_words("raw").alias("words"))
-    fixed = staged(mended(titles.unionByName(firms)), "mended")
+    fixed = staged(mended(staged(titles.unionByName(firms), "spellings")), "mended")
     lits = lambda words: F.array(*(F.lit(w) for w in words))
     joined = lambda words: F.concat_ws(" ", F.array_sort(F.array_distinct(words)))
     title = fixed.filter("kind = 'title'").select(
