@@ -68,7 +68,7 @@ probes AS (
   LATERAL VIEW explode(sequence(greatest(length(name) - {EDITS}, 1), length(name) + {EDITS})) a AS n
   LATERAL VIEW explode(sequence(0, {EDITS})) b AS seg
   LATERAL VIEW explode(sequence(-{EDITS}, {EDITS})) c AS shift)
-SELECT DISTINCT p.name, s.ref, levenshtein(p.name, s.ref) AS edits
+SELECT /*+ SHUFFLE_HASH(s) */ DISTINCT p.name, s.ref, levenshtein(p.name, s.ref) AS edits
 FROM probes p JOIN segments s ON p.n = s.n AND p.seg = s.seg AND p.part = s.part
 WHERE p.at >= 1 AND levenshtein(p.name, s.ref, {EDITS}) >= 0
 """
