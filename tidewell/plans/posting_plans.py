@@ -38,6 +38,14 @@ def jobs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "jobs")
 
 
+def last_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Each snapshot in its highest delivery, which replaces the others whole; a null delivery counts as the lowest."""
+    rows = table(spark, d, "job_snapshots")
+    order = F.coalesce(F.col("delivery_no").cast("long"), F.lit(-(2**62)))
+    last = rows.groupBy(F.col("snapshot_no").alias("_no")).agg(F.max(order).alias("_last"))
+    return rows.join(last, (F.col("snapshot_no") == F.col("_no")) & (order == F.col("_last")), "left_semi")
+
+
 _COMPANY = rf"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(coalesce({{0}}, '')), '&', 'and'), '[^a-z0-9 ]+', ' ', 'g'), '\b({P.COMPANY_NOISE.replace(' ', '|')})\b', ' ', 'g'), ' +', ' ', 'g'))"
 _TITLE = rf"trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(lower(coalesce({{0}}, '')), '\([^)]*\)', ' ', 'g'), '[|–—][^\n\r]*$', ' '), '&', 'and'), '[^a-z0-9+# ]+', ' ', 'g'), '\b({P.TITLE_NOISE})\b', ' ', 'g'), ' +', ' ', 'g'))"
 C = _COMPANY.format
@@ -309,7 +317,7 @@ def age_out(spark, d):
 b AS (SELECT *, sum(CAST(up AS int)) OVER (PARTITION BY id ORDER BY snapshot_no) AS block FROM o)
 SELECT id, snapshot_no, CAST(sum(CAST(NOT up AS int)) OVER (PARTITION BY id, block ORDER BY snapshot_no) AS int) AS streak FROM b""")
 def closed_streaks(spark, d):
-    open_ = table(spark, d, "job_snapshots").filter("delivery_no = 1").groupBy("id", "snapshot_no").agg(F.bool_or(~F.col("closed")).alias("up"))
+    open_ = last_deliveries(spark, d).groupBy("id", "snapshot_no").agg(F.bool_or(~F.col("closed")).alias("up"))
     return status.miss_streaks(open_, "id", "snapshot_no", "up").select("id", "snapshot_no", "streak")
 
 
@@ -420,7 +428,7 @@ def csv_projection(spark, d):
 
 
 def _snapshot(spark, d, no):
-    rows = table(spark, d, "job_snapshots").filter(f"snapshot_no = {no} and delivery_no = 1")
+    rows = last_deliveries(spark, d).filter(f"snapshot_no = {no}")
     return rows.groupBy("id").agg(F.max("title").alias("title"), F.max("company").alias("company"))
 
 
