@@ -1,8 +1,9 @@
 """New batches against all that was accepted before, without going through the history again.
 
-What is kept: a store of winnowed content fingerprints, and partitioned Bloom filters of them. A batch asks
-the filters first; only fingerprints that may have been seen are looked up in the store; contents that share
-enough fingerprints are verified word by word. Then store and filters take in the batch.
+What is kept: a store of content fingerprints, partitioned Bloom filters of them, and the distinct spellings
+of titles, companies and places. A batch asks for the fingerprints of every spelling near its own, the filters
+first; only such as may have been seen are looked up in the store, and what is found is verified word by word.
+Then store and filters take in the batch. Whatever the check accepts shares a fingerprint, so nothing is lost.
 
 A content is what postings of one source say in one slot of time: equal ones share one entry, so that the
 store never pairs copies with copies.
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.matching import DAY
@@ -22,10 +23,8 @@ from tidewell.llm.vacancies import same_place
 from tidewell.operators.connect import lowest_linked
 from tidewell.session import staged
 
-#: Words in a fingerprint; of any WINDOW neighbouring fingerprints the lowest is kept.
-GRAM, WINDOW = 3, 2
-#: Share of the kept fingerprints of the shorter content that both must have.
-COVERAGE = 0.34
+#: Single-letter edits that titles, companies and unlisted places of one vacancy may be apart.
+EDITS = 2
 #: A filter: bits and hashes. At 60,000 entries a partition, 1 in 100 unseen entries passes.
 BITS, HASHES, PER_PART = 1 << 20, 5, 60_000
 
@@ -39,21 +38,53 @@ def contents(postings: DataFrame, days: int) -> DataFrame:
     return postings.filter("at is not null and title <> '' and company <> ''").groupBy(*CONTENT, slot).agg(F.min("id").alias("id"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
-def winnowed(entries: DataFrame) -> DataFrame:
-    """(id, slot, kept, fp): the winnowed fingerprints of each content; kept: how many it has. The words of
-    title and company alternate, so that every run of them holds some of both; the runs close in a ring."""
-    turns = F.flatten(F.transform(F.arrays_zip(F.split("title", " ").alias("t"), F.split("company", " ").alias("c")), lambda z: F.array(z["t"], z["c"])))
-    words = F.array_compact(F.concat(turns, F.array(F.col("place"), F.when(F.col("rank") != "", F.col("rank")))))
-    ringed = entries.select("id", "slot", "source", words.alias("w"), F.size(words).alias("n"))
-    at = lambda i, j: F.element_at("w", ((i + j) % F.col("n") + 1).cast("int"))
-    hashes = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.xxhash64("source", *(at(i, j) for j in range(GRAM))))
-    ringed = ringed.withColumn("h", hashes)
-    lowest = lambda x, i: F.exists(
-        F.sequence(F.lit(1 - WINDOW), F.lit(0)),
-        lambda s: x == F.array_min(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.element_at("h", (F.pmod(i + s + k, F.col("n")) + 1).cast("int")))),
-    )
-    kept = F.array_distinct(F.filter("h", lowest))
-    return ringed.select("id", "slot", F.size(kept).alias("kept"), F.explode(kept).alias("fp"))
+# A text within EDITS edits of another holds one of its EDITS + 1 segments unchanged, at most EDITS places away.
+_CUT = "CAST(n * {} div %d AS int)" % (EDITS + 1)
+NEAR_SQL = f"""
+WITH segments AS (
+  SELECT kind, text, n, seg, substring(text, {_CUT.format("seg")} + 1, {_CUT.format("(seg + 1)")} - {_CUT.format("seg")}) AS part
+  FROM (SELECT kind, text, length(text) AS n FROM {{known}}) LATERAL VIEW explode(sequence(0, {EDITS})) t AS seg),
+probes AS (
+  SELECT kind, text, n, seg, {_CUT.format("seg")} + 1 + shift AS at, substring(text, {_CUT.format("seg")} + 1 + shift, {_CUT.format("(seg + 1)")} - {_CUT.format("seg")}) AS part
+  FROM {{asked}}
+  LATERAL VIEW explode(sequence(greatest(length(text) - {EDITS}, 0), length(text) + {EDITS})) a AS n
+  LATERAL VIEW explode(sequence(0, {EDITS})) b AS seg
+  LATERAL VIEW explode(sequence(-{EDITS}, {EDITS})) c AS shift)
+SELECT /*+ SHUFFLE_HASH(s) */ DISTINCT p.kind, p.text, s.text AS near
+FROM probes p JOIN segments s ON p.kind = s.kind AND p.n = s.n AND p.seg = s.seg AND p.part = s.part
+WHERE p.at >= 1 AND levenshtein(p.text, s.text, {EDITS}) >= 0
+"""
+
+
+def spellings(entries: DataFrame) -> DataFrame:
+    """(kind, text): the distinct titles, companies and places of contents."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("text")) for k in ("title", "company", "place")))
+    return entries.select(F.explode(kinds).alias("s")).select("s.kind", "s.text").filter("text is not null").distinct()
+
+
+def near_spellings(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(kind, text, near): each of `asked` with those of `known` of its kind up to EDITS edits away."""
+    return asked.sparkSession.sql(NEAR_SQL, asked=asked, known=known)
+
+
+def _print(how: str, *place: str) -> Column:
+    return F.xxhash64("source", "rank", "title", "company", F.lit(how), *place)
+
+
+def prints(entries: DataFrame) -> DataFrame:
+    """(id, slot, fp) to store: a content with its place and with any place, or as one that states no place."""
+    fps = F.when(F.col("place").isNull(), F.array(_print("none"))).otherwise(F.array(_print("at", "place"), _print("any")))
+    return entries.select("id", "slot", F.explode(fps).alias("fp"))
+
+
+def asks(entries: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, slot, fp) to look for: of all spellings near a content's own; of its place or none stated, and of any
+    place if it states none."""
+    for kind in ("title", "company", "place"):
+        other = near.filter(F.col("kind") == kind).select(F.col("text").alias(kind), F.col("near").alias("_near"))
+        entries = entries.join(other, kind, "left").withColumn(kind, F.coalesce("_near", kind)).drop("_near")
+    fps = F.array(_print("none"), F.when(F.col("place").isNull(), _print("any")).otherwise(_print("at", "place")))
+    return entries.select("id", "slot", F.explode(fps).alias("fp")).distinct()
 
 
 def _places(values: np.ndarray) -> np.ndarray:
@@ -72,51 +103,60 @@ def _entry(fp: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 
 def _screen(key: tuple, batch: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-    """Which (fp, slot) of a partition's batch may occur in the filter or elsewhere in the batch, in a
-    neighbouring slot too; and the filter with the batch taken in."""
+    """Which (fp, slot) that a partition's batch asks for may occur in the filter or elsewhere in the batch, in
+    a neighbouring slot too; and the filter with the batch taken in. held, asked: whether the batch has it and
+    asks for it; shared: whether it asks for one of another content."""
     bits = np.unpackbits(np.frombuffer(kept["bits"].iloc[0], np.uint8)) if len(kept) else np.zeros(BITS, np.uint8)
-    fp, slot, n = (batch[c].to_numpy(np.int64) for c in ("fp", "slot", "n"))
-    seen = n > 1
+    fp, slot = (batch[c].to_numpy(np.int64) for c in ("fp", "slot"))
+    held, asked, seen = (batch[c].to_numpy(bool) for c in ("held", "asked", "shared"))
     if len(fp):
-        mine = np.unique(np.stack([fp, slot], 1), axis=0)
-        have = set(map(tuple, mine.tolist()))
+        have = set(zip(fp[held].tolist(), slot[held].tolist()))
         for step in (-1, 0, 1):
             seen |= bits[_places(_entry(fp, slot + step))].all(axis=0)
             if step:
                 seen |= np.fromiter(((f, s) in have for f, s in zip(fp.tolist(), (slot + step).tolist())), bool, len(fp))
-        bits[_places(_entry(fp, slot)).ravel()] = 1
+        seen &= asked
+        bits[_places(_entry(fp[held], slot[held])).ravel()] = 1
     out = pd.DataFrame({"part": int(key[0]), "fp": fp[seen], "slot": slot[seen], "bits": None})
     return pd.concat([out, pd.DataFrame({"part": [int(key[0])], "fp": [0], "slot": [0], "bits": [np.packbits(bits).tobytes()]})], ignore_index=True)
 
 
 @dataclass
 class History:
-    """Store (entries with their fingerprints) and filters of all accepted contents, as written tables."""
+    """Store (entries with their fingerprints), filters and spellings of all accepted contents."""
 
     parts: int
     entries: DataFrame | None = None
     prints: DataFrame | None = None
     filters: DataFrame | None = None
+    texts: DataFrame | None = None
 
     def accept(self, batch: DataFrame, days: int) -> DataFrame:
         """Take in a batch of contents; returns links (b, a), a < b, between its entries and earlier ones."""
-        new = staged(winnowed(batch), "prints")
+        texts = staged(spellings(batch), "spellings")
+        self.texts = texts if self.texts is None else staged(self.texts.unionByName(texts).distinct(), "spellings")
+        wanted = staged(asks(batch, staged(near_spellings(texts, self.texts), "near")), "asks")
+        new = prints(batch)
         part = F.pmod(F.xxhash64("fp", F.lit(9)), F.lit(self.parts)).cast("int").alias("part")
-        asked = new.groupBy("fp", "slot").agg(F.count(F.lit(1)).alias("n")).select(part, "fp", "slot", "n")
+        no_id = F.lit(None).cast("long")
+        both = new.select("fp", "slot", F.col("id").alias("has"), no_id.alias("asks")).unionByName(wanted.select("fp", "slot", no_id.alias("has"), F.col("id").alias("asks")))
+        held, asked = F.count("has") > 0, F.count("asks") > 0
+        alone = (F.min("has") == F.max("asks")) & (F.max("has") == F.min("asks"))
+        asked = both.groupBy("fp", "slot").agg(held.alias("held"), asked.alias("asked"), (held & asked & ~F.coalesce(alone, F.lit(False))).alias("shared")).select(part, "fp", "slot", "held", "asked", "shared")
         kept = self.filters if self.filters is not None else batch.sparkSession.createDataFrame([], "part int, bits binary")
         screened = staged(asked.groupBy("part").cogroup(kept.groupBy("part")).applyInPandas(_screen, "part int, fp long, slot long, bits binary"), "screened")
         self.filters = screened.filter("bits is not null").select("part", "bits")
         self.entries = batch if self.entries is None else self.entries.unionByName(batch)
         self.prints = new if self.prints is None else self.prints.unionByName(new)
-        maybe = new.join(screened.filter("bits is null").select("fp", "slot"), ["fp", "slot"])
-        asks = maybe.select(F.col("id").alias("b"), F.col("kept").alias("kb"), "fp", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
-        store = self.prints.select(F.col("id").alias("a"), F.col("kept").alias("ka"), "fp", "slot")
-        shared = asks.join(store, ["fp", "slot"]).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("ka", "kb")).alias("of")).filter(F.col("n") >= F.col("of") * COVERAGE)
+        maybe = wanted.join(screened.filter("bits is null").select("fp", "slot"), ["fp", "slot"])
+        near = maybe.select(F.col("id").alias("b"), "fp", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
+        store = self.prints.select(F.col("id").alias("a"), "fp", "slot")
+        shared = near.join(store, ["fp", "slot"]).filter("a <> b").select("a", "b").distinct()
         side = lambda s: self.entries.select(*(F.col(c).alias(s if c == "id" else f"{s}_{c}") for c in ("id", *CONTENT, "first", "last")))
-        pairs = shared.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-        near = (F.col("a_first") <= F.col("b_last") + days * DAY) & (F.col("b_first") <= F.col("a_last") + days * DAY)
-        spelled = (F.levenshtein("a_title", "b_title") <= 2) & (F.levenshtein("a_company", "b_company") <= 2)
-        same = pairs.filter((F.col("a_source") == F.col("b_source")) & (F.col("a_rank") == F.col("b_rank")) & near & spelled & (same_place("a", "b") > 0))
+        pairs = shared.join(side("a"), "a").join(side("b"), "b")
+        timely = (F.col("a_first") <= F.col("b_last") + days * DAY) & (F.col("b_first") <= F.col("a_last") + days * DAY)
+        spelled = (F.levenshtein("a_title", "b_title") <= EDITS) & (F.levenshtein("a_company", "b_company") <= EDITS)
+        same = pairs.filter((F.col("a_source") == F.col("b_source")) & (F.col("a_rank") == F.col("b_rank")) & timely & spelled & (same_place("a", "b") > 0))
         return staged(same.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "links")
 
 
@@ -128,7 +168,7 @@ def repeats(postings: DataFrame, deliveries: list, days: int = 10) -> DataFrame:
     the same however postings are divided. Postings without title, company or time are the first of theirs.
     """
     known = postings.filter("at is not null and title <> '' and company <> ''")
-    parts = max(1, -(-8 * known.count() // PER_PART))
+    parts = max(1, -(-2 * known.count() // PER_PART))  # at most two fingerprints each
     history, links = History(parts), None
     for holds in deliveries:
         found = history.accept(staged(contents(postings.filter(holds), days), "contents"), days)
