@@ -28,7 +28,13 @@ def test_streaks_count_the_last_delivery(spark, redelivered):
     assert _got(spark, redelivered, "closed_streaks", "id", "snapshot_no", "streak") == want
 
 
-def test_snapshots_are_compared_in_their_last_delivery(spark, redelivered):
-    assert _got(spark, redelivered, "append_new", "id") == {("late8",)}
-    assert _got(spark, redelivered, "reconcile_cells", "id", "column_name", "action", "value") == set()
-    assert _got(spark, redelivered, "incremental_actions", "id", "action") == {("a", "carry"), ("late5", "build"), ("late4", "drop")}
+def test_every_snapshot_is_compared_with_the_one_before(spark, redelivered):
+    """Each in its last delivery; the latest edit of snapshots 4, 5, 7 and 8 is undone in 6 and 9."""
+    twice = (4, 5, 7, 8)
+    assert _got(spark, redelivered, "append_new", "snapshot_no", "id") == {(no, f"late{no}") for no in twice}
+    title = lambda no: "t" if no in twice else f"t{no}"
+    cells = {(no, "a", "title", "push" if no > 2 and title(no - 1) == title(no - 2) else "pull") for no in range(2, 11) if title(no) != title(no - 1)}
+    assert _got(spark, redelivered, "reconcile_cells", "snapshot_no", "id", "column_name", "action") == cells
+    kept = {(no, "a", "carry" if title(no) == title(no - 1) else "build") for no in range(2, 11)}
+    want = kept | {(no, f"late{no}", "build") for no in twice} | {(no + 1, f"late{no}", "drop") for no in twice}
+    assert _got(spark, redelivered, "incremental_actions", "snapshot_no", "id", "action") == want

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import postings as P
 from tidewell.functions import text as X
 from tidewell.operators import corpus, merge, resolve, runs, status, tables, writeback
-from tidewell.session import table
+from tidewell.session import staged, table
 
 NOW = "2026-11-01 00:00:00"
 #: RE2 spelling of the blanks in functions.text, for the SQL side.
@@ -427,9 +427,14 @@ def csv_projection(spark, d):
     return csv_ready(jobs(spark, d), {c: F.col(c) for c in ("id", "title", "company", "closed", "tags")})
 
 
-def _snapshot(spark, d, no):
-    rows = last_deliveries(spark, d).filter(f"snapshot_no = {no}")
-    return rows.groupBy("id").agg(F.max("title").alias("title"), F.max("company").alias("company"))
+def _snapshots(spark, d, *steps):
+    """(key: snapshot_no and id, title, company) of the snapshots that have one before them, and under the same keys
+    those so many snapshots earlier."""
+    rows = staged(last_deliveries(spark, d).groupBy("snapshot_no", "id").agg(F.max("title").alias("title"), F.max("company").alias("company")), "snapshots")
+    numbers = Window.orderBy("snapshot_no")  # a row for each snapshot
+    order = staged(rows.select("snapshot_no").distinct().select("snapshot_no", F.lag("snapshot_no").over(numbers).alias("before"), *(F.lead("snapshot_no", n).over(numbers).alias(f"later{n}") for n in steps)), "snapshot-numbers")
+    under = lambda no: rows.join(F.broadcast(order.filter("before is not null" if no == "snapshot_no" else f"{no} is not null").withColumn("_under", F.col(no))), "snapshot_no").select(F.struct(F.col("_under").alias("snapshot_no"), "id").alias("key"), "title", "company")
+    return under("snapshot_no"), *(under(f"later{n}") for n in steps)
 
 
 _SNAP = "(SELECT id, max(title) AS title, max(company) AS company FROM job_snapshots WHERE snapshot_no = {} AND delivery_no = 1 GROUP BY 1)"
@@ -437,7 +442,7 @@ _SNAP = "(SELECT id, max(title) AS title, max(company) AS company FROM job_snaps
 
 @query(f"SELECT a.id FROM {_SNAP.format(8)} a WHERE NOT EXISTS (SELECT 1 FROM {_SNAP.format(7)} b WHERE a.id = b.id)")
 def append_new(spark, d):
-    return tables.to_append(_snapshot(spark, d, 8), _snapshot(spark, d, 7), "id").select("id")
+    return tables.to_append(*_snapshots(spark, d, 1), "key").select("key.snapshot_no", "key.id")
 
 
 def _decide_sql(c: str) -> str:
@@ -450,7 +455,7 @@ def _decide_sql(c: str) -> str:
     f"FROM {_SNAP.format(8)} o JOIN {_SNAP.format(7)} t ON o.id = t.id LEFT JOIN {_SNAP.format(6)} a ON o.id = a.id) WHERE action <> 'none'"
     for c in ("title", "company")))
 def reconcile_cells(spark, d):
-    return tables.cell_actions(_snapshot(spark, d, 8), _snapshot(spark, d, 7), _snapshot(spark, d, 6), "id", ["title", "company"])
+    return tables.cell_actions(*_snapshots(spark, d, 1, 2), "key", ["title", "company"]).select("key.snapshot_no", "key.id", "column_name", "action", "value")
 
 
 _DIGEST = "SELECT id, sha1(concat(coalesce(title, ''), '|', coalesce(company, ''))) AS h FROM {}"
@@ -459,7 +464,8 @@ _DIGEST = "SELECT id, sha1(concat(coalesce(title, ''), '|', coalesce(company, ''
 @query(f"SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'drop' WHEN a.h = b.h THEN 'carry' ELSE 'build' END AS action FROM ({_DIGEST.format(_SNAP.format(5))}) a FULL JOIN ({_DIGEST.format(_SNAP.format(4))}) b ON a.id = b.id")
 def incremental_actions(spark, d):
     digest = F.sha1(F.concat_ws("|", F.coalesce("title", F.lit("")), F.coalesce("company", F.lit("")))).alias("h")
-    return tables.rebuild_actions(_snapshot(spark, d, 5).select("id", digest), _snapshot(spark, d, 4).select("id", digest), "id", "h")
+    now, before = (rows.select("key", digest) for rows in _snapshots(spark, d, 1))
+    return tables.rebuild_actions(now, before, "key", "h").select("key.snapshot_no", "key.id", "action")
 
 
 @query("SELECT id, CASE WHEN n = 1 THEN title ELSE title || '_' || n END AS file_name FROM (SELECT id, title, row_number() OVER (PARTITION BY lower(company), lower(title) ORDER BY id) AS n FROM jobs)")
