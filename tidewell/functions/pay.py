@@ -123,7 +123,6 @@ def parse_pay(raw: str | None) -> Pay | None:
     scaled = [f for f in scaled if currencies or f[2] or period or f[1] >= 1000 or (f[1] >= 20 and len(text) <= 12 and len(figures) == 1 and "." in text)]
     if not scaled:
         return Pay(None, None, currency, period, False) if currency or period else None
-    scaled = scaled[:2] if len(scaled) > 2 else scaled
     low, high = min(f[1] for f in scaled), max(f[1] for f in scaled)
     if len(scaled) == 1:
         marks = [w[2] for w in words if w[1] <= scaled[0][0]]
