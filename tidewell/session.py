@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -38,10 +39,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. The cluster names it in spark.checkpoint.dir; only where that is
-    unset (tests, local runs) a temporary folder is made."""
+    """The folder all executors share. The cluster names it in spark.checkpoint.dir; where that is unset, a run
+    in one process (tests, local work) makes a temporary folder, and a cluster is an error: its executors would
+    each write to a disk of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidewell-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         named = "file://" + folder
@@ -49,13 +53,37 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tidewell/{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, keeps
-    columns prunable. Use it where a result is read more than once and costs more than its bytes."""
+    columns prunable. Use it where a result is read more than once and costs more than its bytes. What an
+    application staged stands in one folder of its own, see clear_staged."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidewell/{label}-{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_at = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads; other frames are passed over."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
+            _delete(df.sparkSession, path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all that this application staged. Results of queries not yet read are lost with it."""
+    _delete(spark, _tables_dir(spark))
 
 
 def bench_dir() -> str:
