@@ -9,6 +9,8 @@ from zoneinfo import ZoneInfo
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 MICRO = timedelta(microseconds=1)
+#: The year 1; what lies before it is no time that a listing can state.
+FIRST = (datetime(1, 1, 1, tzinfo=timezone.utc) - EPOCH) // MICRO
 
 # Usual zone letters of Australia, New Zealand and Britain, in minutes east of UTC.
 ZONE_LETTERS = {
@@ -92,7 +94,7 @@ def _month(word: str) -> int | None:
 def readings(raw: str | None, scraped_micros: int | None, tz: str | None) -> dict[str, int]:
     """{format: UTC microseconds} for each valid reading. One sure reading for most notations; for dates
     with slashes up to two, DMY and MDY. Empty for null, blank and meaningless values, and for relative
-    values without scraped_at. tz: zone of values that name none; UTC where it is null or unknown."""
+    values without scraped_at or from before the year 1. tz: zone of values that name none; UTC where it is null or unknown."""
     text = " ".join((raw or "").split())
     if not text:
         return {}
@@ -131,8 +133,8 @@ def readings(raw: str | None, scraped_micros: int | None, tz: str | None) -> dic
         if m := _AGO.match(low):
             count = 1 if m[1] in ("a", "an", "one") else int(m[1])
             unit = next(u for start, u in _UNIT_OF if m[2].startswith(start) or (start == "mo" and m[2].startswith("mth")))
-            if count < 100_000:
-                one = scraped_micros - count * UNIT_SECONDS[unit] * 1_000_000
+            back = scraped_micros - count * UNIT_SECONDS[unit] * 1_000_000
+            one = back if back >= FIRST else None
         elif low in ("just now", "just posted", "just listed", "just", "now", "today", "new", "moments ago"):
             one = scraped_micros
         elif low == "yesterday":
