@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.postings import fingerprint, make_id, normal_company, title_tokens
 from tidewell.functions.text import jaccard
-from tidewell.operators.connect import lowest_linked
-from tidewell.session import staged
+from tidewell.session import discard, staged
 
 
 def keyed(rows: DataFrame, seq: str, source: str, source_id: str, title: str, company: str, city: Column) -> DataFrame:
@@ -62,54 +60,55 @@ def match_fuzzy_first(incoming: DataFrame, stored: DataFrame, least: float = 0.8
     return incoming.select("seq").join(hits, "seq", "left")
 
 
+def _first_independent(edges: DataFrame) -> DataFrame:
+    """edges: x, y, where y comes before x. (x): the nodes that are not taken when nodes are gone through in order
+    and each is taken unless an edge leads to one taken before. Rounds: what has no edge left is taken, and what
+    has an edge to it is not; both leave the graph."""
+    left, refused = staged(edges.distinct(), "conflicts"), []
+    while not left.isEmpty():
+        waiting = left.select(F.col("x").alias("y")).distinct()
+        out = staged(left.join(waiting, "y", "left_anti").select("x").distinct(), "refused")
+        refused.append(out)
+        rest = staged(left.join(out, "x", "left_anti").join(out.select(F.col("x").alias("y")), "y", "left_anti").select("x", "y"), "conflicts")
+        discard(left)
+        left = rest
+    found = edges.select("x").limit(0)
+    for out in refused:
+        found = found.unionByName(out)
+    return found
+
+
 def resolve_in_order(rows: DataFrame, least: float = 0.8) -> DataFrame:
     """(seq, leader, status): the posting each row becomes part of when rows are taken in one by one.
 
     Per row: a known id is 'updated'; a known fingerprint of a leader, else a similar title of another source
     at the same firm (first leader in order), is 'merged'; else it is 'new' and a leader. Ids of merged rows
-    are known from then on; the fingerprint of a row merged by similarity is not. Rows can only meet within
-    one connected group of equal ids, equal fingerprints and similar titles, so each group is folded alone.
+    are known from then on; the fingerprint of a row merged by similarity is not.
+
+    Only sets are worked on. A fingerprint holds firm and title, so rows of one form (firm, title words) and
+    source differ in fingerprint only, and the first of them leads unless an earlier leader of another source
+    has a similar form: leaders are the first independent set of (form, source) in order of arrival. All other
+    rows follow from the first leader around their form and the first leader of their fingerprint.
     """
-    first = first_by(rows, "id").withColumn("form", F.xxhash64("company_key", "tokens"))
+    first = first_by(rows, "id").withColumn("form", F.when(F.size("tokens") > 0, F.xxhash64("company_key", "tokens")))
     first = staged(first.select("id", "seq", "source", "fp", "company_key", "tokens", "form"), "resolve-firsts")
-    titles = similar_titles(first, least)
-    by_form = first.groupBy("form").agg(F.min("seq").alias("lead_seq"))
-    by_fp = first.groupBy("fp").agg(F.min("seq").alias("lead_seq"))
-    links = (
-        first.join(by_form, "form").select(F.col("seq").alias("b"), F.col("lead_seq").alias("a"))
-        .unionByName(first.join(by_fp, "fp").select(F.col("seq").alias("b"), F.col("lead_seq").alias("a")))
-        .unionByName(titles.join(by_form.select(F.col("form").alias("fa"), F.col("lead_seq").alias("a")), "fa").join(by_form.select(F.col("form").alias("fb"), F.col("lead_seq").alias("b")), "fb").select("b", "a"))
-        .filter("a <> b")
+    nodes = staged(first.filter("form is not null").groupBy("form", "source").agg(F.min("seq").alias("at")), "forms")
+    pairs = similar_titles(first, least)
+    reach = staged(
+        pairs.select("fa", "fb").unionByName(pairs.select(F.col("fb").alias("fa"), F.col("fa").alias("fb"))).unionByName(nodes.select(F.col("form").alias("fa"), F.col("form").alias("fb")).distinct()), "alike"
     )
-    groups = first.join(lowest_linked(links).select(F.col("id").alias("seq"), "root"), "seq", "left").withColumn("root", F.coalesce("root", "seq"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        leaders: list[tuple[int, str, str, frozenset]] = []
-        known: dict[str, int] = {}
-        out = []
-        for seq, source, fp, firm, tokens in zip(pdf["seq"], pdf["source"], pdf["fp"], pdf["company_key"], pdf["tokens"]):
-            words, status = frozenset(tokens), "merged"
-            lead = known.get(fp)
-            if lead is None:
-                for number, other, name, theirs in leaders:
-                    both = len(words & theirs)
-                    if other != source and name == firm and both and both >= least * len(words | theirs):
-                        lead = number
-                        break
-            if lead is None:
-                lead, status = seq, "new"
-                known[fp] = seq
-                leaders.append((seq, source, firm, words))
-            out.append((seq, lead, status))
-        return pd.DataFrame(out, columns=["seq", "leader", "status"])
-
-    alone = Window.partitionBy("root")
-    sized = groups.withColumn("n", F.count(F.lit(1)).over(alone))
-    single = sized.filter("n = 1").select("seq", F.col("seq").alias("leader"), F.lit("new").alias("status"))
-    folded = sized.filter("n > 1").select("root", "seq", "source", "fp", "company_key", "tokens").groupBy("root").applyInPandas(fold, "seq long, leader long, status string")
-    led = single.unionByName(folded)
-    ids = first.select("id", F.col("seq").alias("first_seq")).join(led.withColumnRenamed("seq", "first_seq"), "first_seq")
-    status = F.when(F.col("seq") == F.col("first_seq"), F.col("status")).otherwise("updated")
+    mine = nodes.select(F.col("form").alias("fa"), F.col("source").alias("s"), F.col("at").alias("x"))
+    edges = mine.join(reach, "fa").join(nodes.select(F.col("form").alias("fb"), F.col("source").alias("t"), F.col("at").alias("y")), "fb").filter("s <> t and y < x").select("x", "y")
+    refused = _first_independent(staged(edges, "conflicts"))
+    leads = nodes.join(refused.select(F.col("x").alias("at")), "at", "left_anti")
+    around = mine.join(reach, "fa").join(leads.select(F.col("form").alias("fb"), F.col("source").alias("t"), F.col("at").alias("y")), "fb").filter("s <> t").groupBy("fa", "s").agg(F.min("y").alias("near"))
+    told = staged(
+        first.select("id", "seq", "source", "fp", "form").join(around.select(F.col("fa").alias("form"), F.col("s").alias("source"), "near"), ["form", "source"], "left")
+        .join(leads.select("form", "source", F.lit(True).alias("leads")), ["form", "source"], "left"), "resolve-told"
+    )
+    own = F.col("form").isNull() | (F.col("leads") & (F.col("near").isNull() | (F.col("seq") < F.col("near"))))
+    by_fp = told.filter(own).groupBy("fp").agg(F.min("seq").alias("lead_fp"))
+    lead = F.when(F.col("lead_fp") <= F.col("seq"), F.col("lead_fp")).otherwise(F.col("near"))
+    ids = told.join(by_fp, "fp", "left").select("id", F.col("seq").alias("first_seq"), lead.alias("leader"))
+    status = F.when(F.col("seq") != F.col("first_seq"), "updated").when(F.col("leader") == F.col("seq"), "new").otherwise("merged")
     return rows.select("seq", "id").join(ids, "id").select("seq", "leader", status.alias("status"))
-

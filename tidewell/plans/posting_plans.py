@@ -91,9 +91,11 @@ def word_counts(spark, d):
 
 
 def _html_sql(c: str) -> str:
+    """Breaks, block ends and items first; then what is markup goes without a trace; then entities and blanks."""
     steps = (
-        (r"(?i)<br\s*/?>", r"' || chr(10) || '"), (r"(?i)</(?:p|div|li|h[1-6]|tr)>", r"' || chr(10) || '"), ("(?i)<li[^>]*>", "- "), (r"(?is)<script.*?</script>", " "), (r"(?is)<style.*?</style>", " "),
-        ("<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("&#39;", "''"), ("(?i)&apos;", "''"), (r"[ \t]+", " "), (r"\n{3,}", r"' || chr(10) || chr(10) || '"),
+        (rf"(?i)<{B}*br{B}*/?{B}*>", "' || chr(10) || '"), (rf"(?i)</{B}*(p|div|li|h[1-6]|tr){B}*>", "' || chr(10) || '"), (rf"(?i)<{B}*li[^>]*>", "- "),
+        (r"(?is)<script.*?</script>", ""), (r"(?is)<style.*?</style>", ""), ("<[^>]+>", ""), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'),
+        ("(?i)&#39;|&apos;", "''"), (r"[ \t]+", " "), (r"\n{3,}", "' || chr(10) || chr(10) || '"),
     )
     for rx, to in steps:
         c = f"regexp_replace({c}, '{rx}', '{to}', 'g')"
@@ -273,29 +275,6 @@ def distinct_first(spark, d):
     return resolve.first_by(keyed.select("id", "seq", "fp"), "id").select("id", "seq")
 
 
-@query()
-def resolve_in_order(spark, d):
-    return resolve.resolve_in_order(resolve.keyed(raw(spark, d), "raw_id", "source", "source_id", "title", "company", F.col("location_raw")))
-
-
-@query()
-def upsert_counts(spark, d):
-    return resolve_in_order(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""SELECT id, count(*) AS n_seen, arg_min(title, raw_id) FILTER (coalesce(title, '') <> '') AS title, arg_min(company, raw_id) FILTER (coalesce(company, '') <> '') AS company,
-  arg_min(salary_raw, raw_id) FILTER (salary_raw IS NOT NULL) AS salary_raw, arg_max(apply_method, raw_id) FILTER (apply_method IS NOT NULL) AS apply_method,
-  max(coalesce(length(description), 0)) AS n_longest, array_to_string(list_sort(list(DISTINCT category) FILTER (category IS NOT NULL)), ',') AS categories
-FROM (SELECT *, sha1(concat(source, ':', source_id)) AS id FROM raw_jobs) GROUP BY id""")
-def merge_fold(spark, d):
-    rows = raw(spark, d).select(
-        P.make_id(F.col("source"), F.col("source_id")).alias("id"), F.col("raw_id").alias("seq"), "title", "company", "salary_raw", "apply_method", "description",
-        F.array_compact(F.array("category")).alias("categories"),
-    )
-    folded = merge.merge_fold(rows, "id", first_text=("title", "company"), first_value=("salary_raw",), longest=("description",), latest=("apply_method",), unions=("categories",))
-    return folded.select("id", "n_seen", "title", "company", "salary_raw", "apply_method", F.coalesce(F.length("description"), F.lit(0)).cast("long").alias("n_longest"), F.array_join(F.array_sort("categories"), ",").alias("categories"))
-
-
 @query("""WITH a AS (SELECT id, arg_max(title, raw_id) FILTER (title IS NOT NULL) AS title, min(scraped_at) AS first_at FROM (SELECT *, sha1(concat(source, ':', source_id)) AS id FROM raw_jobs) GROUP BY id)
 SELECT coalesce(j.id, a.id) AS id, coalesce(a.title, j.title) AS title, epoch_us(CASE WHEN j.id IS NOT NULL THEN j.scraped_at ELSE a.first_at END) AS scraped_us FROM jobs j FULL JOIN a ON j.id = a.id""")
 def upsert(spark, d):
@@ -313,7 +292,10 @@ def age_out(spark, d):
     return status.missed_runs(table(spark, d, "run_results"))
 
 
-@query("""WITH s AS (SELECT DISTINCT id, snapshot_no, closed FROM job_snapshots WHERE delivery_no = 1), o AS (SELECT id, snapshot_no, bool_or(NOT closed) AS up FROM s GROUP BY 1, 2),
+_LAST = "(SELECT * FROM job_snapshots s WHERE delivery_no = (SELECT max(delivery_no) FROM job_snapshots t WHERE t.snapshot_no = s.snapshot_no))"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT id, snapshot_no, closed FROM {_LAST}), o AS (SELECT id, snapshot_no, bool_or(NOT closed) AS up FROM s GROUP BY 1, 2),
 b AS (SELECT *, sum(CAST(up AS int)) OVER (PARTITION BY id ORDER BY snapshot_no) AS block FROM o)
 SELECT id, snapshot_no, CAST(sum(CAST(NOT up AS int)) OVER (PARTITION BY id, block ORDER BY snapshot_no) AS int) AS streak FROM b""")
 def closed_streaks(spark, d):
@@ -437,10 +419,12 @@ def _snapshots(spark, d, *steps):
     return under("snapshot_no"), *(under(f"later{n}") for n in steps)
 
 
-_SNAP = "(SELECT id, max(title) AS title, max(company) AS company FROM job_snapshots WHERE snapshot_no = {} AND delivery_no = 1 GROUP BY 1)"
+#: Snapshots in their last deliveries, a row an id, with the numbers of the one before and of the one before that.
+_SNAP = f"""r AS (SELECT snapshot_no, id, max(title) AS title, max(company) AS company FROM {_LAST} GROUP BY 1, 2),
+n AS (SELECT snapshot_no, lag(snapshot_no) OVER (ORDER BY snapshot_no) AS before, lag(snapshot_no, 2) OVER (ORDER BY snapshot_no) AS before2 FROM (SELECT DISTINCT snapshot_no FROM r))"""
 
 
-@query(f"SELECT a.id FROM {_SNAP.format(8)} a WHERE NOT EXISTS (SELECT 1 FROM {_SNAP.format(7)} b WHERE a.id = b.id)")
+@query(f"WITH {_SNAP} SELECT a.snapshot_no, a.id FROM r a JOIN n USING (snapshot_no) WHERE n.before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r b WHERE a.id = b.id AND b.snapshot_no = n.before)")
 def append_new(spark, d):
     return tables.to_append(*_snapshots(spark, d, 1), "key").select("key.snapshot_no", "key.id")
 
@@ -450,18 +434,20 @@ def _decide_sql(c: str) -> str:
     return f"CASE WHEN {t} = '' THEN CASE WHEN {o} <> '' THEN 'push' ELSE 'none' END WHEN {o} = {t} THEN 'none' WHEN {o} <> '' AND a.{c} IS NOT NULL AND {t} = {a} THEN 'push' ELSE 'pull' END"
 
 
-@query(" UNION ALL ".join(
-    f"SELECT id, '{c}' AS column_name, action, CASE WHEN action = 'push' THEN mine ELSE theirs END AS value FROM (SELECT o.id, {_decide_sql(c)} AS action, o.{c} AS mine, t.{c} AS theirs "
-    f"FROM {_SNAP.format(8)} o JOIN {_SNAP.format(7)} t ON o.id = t.id LEFT JOIN {_SNAP.format(6)} a ON o.id = a.id) WHERE action <> 'none'"
+@query(f"WITH {_SNAP} " + " UNION ALL ".join(
+    f"SELECT snapshot_no, id, '{c}' AS column_name, action, CASE WHEN action = 'push' THEN mine ELSE theirs END AS value FROM (SELECT o.snapshot_no, o.id, {_decide_sql(c)} AS action, o.{c} AS mine, t.{c} AS theirs "
+    f"FROM r o JOIN n USING (snapshot_no) JOIN r t ON o.id = t.id AND t.snapshot_no = n.before LEFT JOIN r a ON o.id = a.id AND a.snapshot_no = n.before2) WHERE action <> 'none'"
     for c in ("title", "company")))
 def reconcile_cells(spark, d):
     return tables.cell_actions(*_snapshots(spark, d, 1, 2), "key", ["title", "company"]).select("key.snapshot_no", "key.id", "column_name", "action", "value")
 
 
-_DIGEST = "SELECT id, sha1(concat(coalesce(title, ''), '|', coalesce(company, ''))) AS h FROM {}"
+_DIGEST = f"h AS (SELECT r.*, n.before, sha1(concat(coalesce(title, ''), '|', coalesce(company, ''))) AS h FROM r JOIN n USING (snapshot_no))"
 
 
-@query(f"SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'drop' WHEN a.h = b.h THEN 'carry' ELSE 'build' END AS action FROM ({_DIGEST.format(_SNAP.format(5))}) a FULL JOIN ({_DIGEST.format(_SNAP.format(4))}) b ON a.id = b.id")
+@query(f"""WITH {_SNAP}, {_DIGEST}, later AS (SELECT n.snapshot_no, h.id, h.h FROM h JOIN n ON n.before = h.snapshot_no)
+SELECT coalesce(a.snapshot_no, b.snapshot_no) AS snapshot_no, coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'drop' WHEN a.h = b.h THEN 'carry' ELSE 'build' END AS action
+FROM (SELECT * FROM h WHERE before IS NOT NULL) a FULL JOIN later b ON a.id = b.id AND a.snapshot_no = b.snapshot_no""")
 def incremental_actions(spark, d):
     digest = F.sha1(F.concat_ws("|", F.coalesce("title", F.lit("")), F.coalesce("company", F.lit("")))).alias("h")
     now, before = (rows.select("key", digest) for rows in _snapshots(spark, d, 1))
