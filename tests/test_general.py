@@ -184,3 +184,36 @@ def test_snapshot_diff_odd_tables(spark):
     assert S.diff_snapshots(rows.filter("no = 1"), "no", "delivery", "id", "seen", digest).count() == 0
     holes = rows.limit(3).select("no", "delivery", F.lit(None).cast("string").alias("id"), "v", "w", "seen")
     assert S.diff_snapshots(holes, "no", "delivery", "id", "seen", digest).count() == 0
+
+
+def test_snapshot_tables_subtract_and_peel():
+    rng = np.random.RandomState(1)
+    now, prior = (rng.randint(-(2**62), 2**62, (2, 400)).astype(np.int64) for _ in range(2))
+    shared = rng.randint(-(2**62), 2**62, (2, 3000)).astype(np.int64)
+    now, prior = np.hstack([shared, now]), np.hstack([shared, prior])
+    m = S.cells_for(800)
+    left = S.subtracted(S.table_of(*now, m), S.table_of(*prior, m))
+    *found, done = S.peel(left)
+    assert done and 600 < S.expected_elements(left) < 1000
+    key = lambda f: sorted(zip(*(x.tolist() for x in f)))
+    assert key(found) == key(S.compared(now, prior)) and len(found[0]) == 800
+    assert not S.peel(S.subtracted(S.table_of(*now, 300), S.table_of(*prior, 300)))[3]
+
+
+def test_unfounded_elements_send_their_bucket_to_exact_comparison(spark, monkeypatch):
+    """A recovered element that no row of its snapshot has is not believed."""
+    rows = _snapshots(spark, 6, 40)
+    real = S.subtract_tables
+    wrong = "kind <> 'failed' AND pmod(kh, 2) = 0"
+    monkeypatch.setattr(S, "subtract_tables", lambda *a: real(*a).withColumn("digest", F.when(F.expr(wrong), F.col("digest") + 1).otherwise(F.col("digest"))))
+    got = S.diff_snapshots(rows, "no", "delivery", "id", "seen", F.xxhash64("v", S.trimmed("w")), 64, 4.0).collect()
+    assert {tuple(r) for r in got} == _brute(rows.collect())
+
+
+def test_a_snapshot_without_rows_of_a_bucket(spark):
+    """Few ids over many buckets, one snapshot nearly empty, and one id that makes up most rows."""
+    rows = [(1, f"a{i}", 0) for i in range(30)] + [(2, "a1", 0)] + [(3, f"a{i}", i % 2) for i in range(30)] + [(3, "a5", 1)] * 300
+    table = spark.createDataFrame(rows, "no int, id string, v int").withColumns({"delivery": F.lit(None).cast("int"), "seen": F.lit(None).cast("timestamp")})
+    got = sorted(tuple(r) for r in S.diff_snapshots(table, "no", "delivery", "id", "seen", F.xxhash64("v"), 2, 1.0).collect())
+    want = [(2, f"a{i}", "removed") for i in range(30) if i != 1] + [(3, f"a{i}", "added") for i in range(30) if i != 1] + [(3, "a1", "changed")]
+    assert got == sorted(want)
