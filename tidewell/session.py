@@ -57,12 +57,17 @@ def _tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidewell/{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, deleted with all that the application staged."""
+    return f"{_tables_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, keeps
     columns prunable. Use it where a result is read more than once and costs more than its bytes. What an
     application staged stands in one folder of its own, see clear_staged."""
     spark = df.sparkSession
-    path = f"{_tables_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_at = path
