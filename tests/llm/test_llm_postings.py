@@ -7,7 +7,6 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm.history import repeats
 from tidewell.llm.matching import match_across, matched
 from tidewell.llm.near import expand_pairs, near_duplicates
 from tidewell.llm.places import map_places, match_names
@@ -129,26 +128,3 @@ def test_matching_across_boards(spark, places):
     got = {(r.a, r.b) for r in matched(match_across(fields)).collect()}
     assert got <= same and len(got) >= 0.95 * len(same)
     assert match_across(fields.limit(0)).count() == 0
-
-
-def _postings(spark):
-    rng = random.Random(4)
-    rows = []
-    for i in range(300):
-        day = rng.randint(0, 120)
-        rows.append((i, rng.choice("ab"), rng.choice(["baker tram", "diver gas", "nurse crane tower"]), rng.choice(["", "senior"]), rng.choice(["amber steel", "birch foods"]), rng.choice([1, -1]), rng.choice(["fern creek", None]), day * 86_400_000_000))
-    rows += [(300, "a", "", "", "", -1, None, None), (301, None, "baker tram", "", "amber steel", 1, "fern creek", 0)]
-    return spark.createDataFrame(rows, "id long, source string, title string, rank string, company string, place_id long, place string, at long")
-
-
-def test_history_is_the_same_however_it_is_delivered(spark):
-    postings = _postings(spark)
-    whole = {r.id: r.first for r in repeats(postings, [F.lit(True)]).collect()}
-    cut = {r.id: r.first for r in repeats(postings, [F.col("id") < 100, (F.col("id") >= 100) & (F.col("id") < 220), F.col("id") >= 220]).collect()}
-    assert whole == cut and len(whole) == 302
-    assert all(first <= i for i, first in whole.items()) and whole[300] == 300
-    rows = {r.id: r for r in postings.collect()}
-    for i, a in rows.items():
-        for j, b in rows.items():
-            if j < i and a.source == b.source and a.title and a[2:7] == b[2:7] and a.at is not None and abs(a.at - b.at) <= 10 * 86_400_000_000:
-                assert whole[i] <= j, (i, j)

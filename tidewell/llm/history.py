@@ -1,27 +1,31 @@
-"""New batches against all that was accepted before, without going through the history again.
-
-What is kept: a store of content fingerprints, partitioned Bloom filters of them, and the distinct spellings
-of titles, companies and places. A batch asks for the fingerprints of every spelling near its own, the filters
-first; only such as may have been seen are looked up in the store, and what is found is verified word by word.
-Then store and filters take in the batch. Whatever the check accepts shares a fingerprint, so nothing is lost.
-
-A content is what postings of one source say in one slot of time: equal ones share one entry, so that the
-store never pairs copies with copies.
+"""New deliveries of postings against all that was accepted before, without going through the history again.
+
+What is kept, at a path of its own: a store of fingerprints, partitioned by their hash, with what they stand for;
+partitioned Bloom filters of them; the spellings of titles, companies and places, and the counts of words, known so
+far. Every row of a delivery comes in by its posting's fingerprint (board and number), and the first row of a
+posting not known by the fingerprints of its content too. The filters are asked first; only what may have been
+seen is looked up, in those partitions of the store that hold it, and verified field by field. Then store and
+filters take in the delivery as one new version, which counts once it is written whole.
+
+Contents have about five words, of which winnowed runs lose most pairs that differ in one word. So a content has one
+fingerprint of all its words, and asks for those of every spelling near its own: whatever the check accepts shares
+one. Equal contents of one slot of time share one entry, so that the store never pairs copies with copies.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.matching import DAY
-from tidewell.llm.vacancies import same_place
+from tidewell.llm.vacancies import same_place, spellings_of, vacancy_fields, word_counts
 from tidewell.operators.connect import lowest_linked
-from tidewell.session import staged
+from tidewell.session import discard, staged
 
 #: Single-letter edits that titles, companies and unlisted places of one vacancy may be apart.
 EDITS = 2
@@ -71,6 +75,10 @@ def _print(how: str, *place: str) -> Column:
     return F.xxhash64("source", "rank", "title", "company", F.lit(how), *place)
 
 
+def key_print() -> Column:
+    return F.xxhash64(F.lit("posting"), "source", "key")
+
+
 def prints(entries: DataFrame) -> DataFrame:
     """(id, slot, fp) to store: a content with its place and with any place, or as one that states no place."""
     fps = F.when(F.col("place").isNull(), F.array(_print("none"))).otherwise(F.array(_print("at", "place"), _print("any")))
@@ -110,74 +118,184 @@ def _screen(key: tuple, batch: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame
     fp, slot = (batch[c].to_numpy(np.int64) for c in ("fp", "slot"))
     held, asked, seen = (batch[c].to_numpy(bool) for c in ("held", "asked", "shared"))
     if len(fp):
-        have = set(zip(fp[held].tolist(), slot[held].tolist()))
+        have = np.sort(_entry(fp[held], slot[held]))
         for step in (-1, 0, 1):
-            seen |= bits[_places(_entry(fp, slot + step))].all(axis=0)
-            if step:
-                seen |= np.fromiter(((f, s) in have for f, s in zip(fp.tolist(), (slot + step).tolist())), bool, len(fp))
+            entry = _entry(fp, slot + step)
+            seen |= bits[_places(entry)].all(axis=0)
+            if step and len(have):
+                seen |= have[np.minimum(np.searchsorted(have, entry), len(have) - 1)] == entry
         seen &= asked
         bits[_places(_entry(fp[held], slot[held])).ravel()] = 1
     out = pd.DataFrame({"part": int(key[0]), "fp": fp[seen], "slot": slot[seen], "bits": None})
     return pd.concat([out, pd.DataFrame({"part": [int(key[0])], "fp": [0], "slot": [0], "bits": [np.packbits(bits).tobytes()]})], ignore_index=True)
 
 
+STORED = "fp long, slot long, id long, root long, source string, key string, title string, rank string, company string, place_id long, place string, first long, last long, part int"
+#: Columns of what is kept; root is the lowest id of the vacancy, title is null in the print of a posting's number.
+KINDS = {"filters": "part int, bits binary", "texts": "kind string, text string", "words": "kind string, word string, n long", "prints": STORED}
+
+
 @dataclass
 class History:
-    """Store (entries with their fingerprints), filters and spellings of all accepted contents."""
-
-    parts: int
-    entries: DataFrame | None = None
-    prints: DataFrame | None = None
-    filters: DataFrame | None = None
-    texts: DataFrame | None = None
-
-    def accept(self, batch: DataFrame, days: int) -> DataFrame:
-        """Take in a batch of contents; returns links (b, a), a < b, between its entries and earlier ones."""
-        texts = staged(spellings(batch), "spellings")
-        self.texts = texts if self.texts is None else staged(self.texts.unionByName(texts).distinct(), "spellings")
-        wanted = staged(asks(batch, staged(near_spellings(texts, self.texts), "near")), "asks")
-        new = prints(batch)
-        part = F.pmod(F.xxhash64("fp", F.lit(9)), F.lit(self.parts)).cast("int").alias("part")
+    """Store, filters, spellings and words of all that was accepted, below `path`, one version a delivery.
+
+    A version is a folder v=N in each of prints, texts (what it adds), filters and words (as they are then), and in
+    state, which is written last: which versions make up the store, its number of partitions, the prints taken in.
+    Versions that lack it never count; they are written again.
+    """
+
+    spark: SparkSession
+    path: str
+    state: dict
+    #: Partitions of the store that the last delivery had to read, of how many.
+    asked_parts: tuple[int, int] = (0, 0)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> History:
+        """The history at a path as its last whole version left it; an empty one where there is none."""
+        jvm = spark._jvm
+        path = path.rstrip("/")
+        root = jvm.org.apache.hadoop.fs.Path(f"{path}/state")
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        whole = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(root, f"{n}/_SUCCESS"))]
+        empty = {"version": 0, "parts": 1, "size": 0, "prints": [], "texts": []}
+        return cls(spark, path, json.loads(spark.read.text(f"{path}/state/v={max(whole)}").first()[0]) if whole else empty)
+
+    def _read(self, kind: str, versions: list[str]) -> DataFrame:
+        """What these versions hold of a kind."""
+        if not versions:
+            return self.spark.createDataFrame([], KINDS[kind])
+        at = f"{self.path}/{kind}"
+        return self.spark.read.schema(f"{KINDS[kind]}, v string").option("basePath", at).parquet(*(f"{at}/v={v}" for v in versions)).drop("v")
+
+    def _write(self, rows: DataFrame, version: int | str, kind: str, *by: str) -> None:
+        writer = (rows.repartition(*by) if by else rows).write.mode("overwrite")
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{kind}/v={version}")
+
+    def _now(self, kind: str) -> DataFrame:
+        return self._read(kind, self.state[kind] if kind in ("prints", "texts") else [self.state["version"]] if self.state["version"] else [])
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("fp", F.lit(9)), F.lit(self.state["parts"])).cast("int").alias("part")
+
+    def _grow(self, more: int, version: int) -> DataFrame:
+        """Room for so many prints more: the filters as they are, or, where partitions would overflow, the store
+        divided anew and filters built from it. Partitions at least double then, so each print is moved a bounded
+        number of times however long the history gets."""
+        parts = self.state["parts"]
+        while parts * PER_PART < self.state["size"] + more:
+            parts *= 2
+        if parts == self.state["parts"]:
+            return self._now("filters")
+        self.state = self.state | {"parts": parts}
+        if not self.state["prints"]:
+            return self._now("filters")
+        self._write(self._now("prints").drop("part").withColumn("part", self._part()), f"{version}d", "prints", "part")
+        self.state = self.state | {"prints": [f"{version}d"]}
+        moved = self._now("prints")
+        none = F.lit(False)
+        held = moved.select("part", "fp", "slot", F.lit(True).alias("held"), none.alias("asked"), none.alias("shared")).distinct()
+        return self._screened(held, self.spark.createDataFrame([], KINDS["filters"]))[1]
+
+    def _screened(self, batch: DataFrame, filters: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """((part, fp, slot) that may have been seen, the filters with the batch taken in)."""
+        out = staged(batch.groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(_screen, "part int, fp long, slot long, bits binary"), "screened")
+        return out.filter("bits is null").select("part", "fp", "slot"), out.filter("bits is not null").select("part", "bits")
+
+    def _stored(self, parts: list[int]) -> DataFrame:
+        """What the store holds in these partitions; no others are read."""
+        self.asked_parts = (self.asked_parts[0] + len(parts), self.asked_parts[1] + self.state["parts"])
+        return self._now("prints").filter(F.col("part").isin(parts)) if parts else self._read("prints", [])
+
+    def accept(self, rows: DataFrame, places: DataFrame, settings: DataFrame, days: int = 10) -> DataFrame:
+        """Take in a delivery. rows: id (bigint, unique, higher than those of deliveries before), source, key (number of
+        the posting on its board), title, company, location_raw, posted_at_raw, scraped_at.
+
+        Returns (id, root) of rows that repeat an earlier one: root is the lowest id of the same source with the
+        same posting or the same vacancy. Given roots stay: where posting times form a chain, each within `days` of
+        the next, a row that closes a gap joins the lower root, the rows before it do not move. A null source or
+        key is a value like any other. Rows given twice count once. An empty delivery changes nothing.
+        """
+        version = self.state["version"] + 1
+        self.asked_parts = (0, 0)
+        told = F.min_by(F.struct("title", "company", "location_raw", "posted_at_raw", "scraped_at"), "id").alias("r")
+        firsts = staged(rows.groupBy("source", "key").agg(F.min("id").alias("id"), told).select("id", "source", "key", "r.*"), "first-rows")
+        n = firsts.count()
+        if not n:
+            return self.spark.createDataFrame([], "id long, root long")
+        filters = self._grow(3 * n, version)  # a posting's own print and at most two of its content
+
+        # Postings that were there before.
+        zero, yes, no = F.lit(0).cast("long"), F.lit(True), F.lit(False)
+        keys = firsts.select("id", "source", "key", key_print().alias("fp"))
+        maybe, filters = self._screened(keys.select(self._part(), "fp", zero.alias("slot"), yes.alias("held"), yes.alias("asked"), no.alias("shared")).distinct(), filters)
+        parts = [r.part for r in maybe.select("part").distinct().collect()]  # at most one number a partition
+        had = self._stored(parts).filter("title is null").select("fp", "source", "key", "root")
+        k, h = keys.join(maybe.select("fp"), "fp", "left_semi").alias("k"), had.alias("h")
+        same = (F.col("k.fp") == F.col("h.fp")) & F.col("k.source").eqNullSafe(F.col("h.source")) & F.col("k.key").eqNullSafe(F.col("h.key"))
+        known = staged(k.join(h, same).groupBy("k.id").agg(F.min("h.root").alias("root")).select("id", "root"), "known-postings")
+        fresh = staged(firsts.join(known, "id", "left_anti"), "fresh-postings")
+
+        # Contents of the others, their spelling mended by what is known by now.
+        values = staged(spellings_of(fresh), "spellings")
+        words = staged(word_counts(values, self._now("words")), "words")
+        fields = staged(vacancy_fields(fresh.drop("key"), places, settings, values, words), "vacancies")
+        entries = staged(contents(fields, days), "contents")
+        texts, old = staged(spellings(entries), "texts"), self._now("texts")
+        near = staged(near_spellings(texts, old.unionByName(texts).distinct()), "near")
+        wanted = staged(asks(entries, near), "asks")
+        new = prints(entries)
         no_id = F.lit(None).cast("long")
         both = new.select("fp", "slot", F.col("id").alias("has"), no_id.alias("asks")).unionByName(wanted.select("fp", "slot", no_id.alias("has"), F.col("id").alias("asks")))
         held, asked = F.count("has") > 0, F.count("asks") > 0
         alone = (F.min("has") == F.max("asks")) & (F.max("has") == F.min("asks"))
-        asked = both.groupBy("fp", "slot").agg(held.alias("held"), asked.alias("asked"), (held & asked & ~F.coalesce(alone, F.lit(False))).alias("shared")).select(part, "fp", "slot", "held", "asked", "shared")
-        kept = self.filters if self.filters is not None else batch.sparkSession.createDataFrame([], "part int, bits binary")
-        screened = staged(asked.groupBy("part").cogroup(kept.groupBy("part")).applyInPandas(_screen, "part int, fp long, slot long, bits binary"), "screened")
-        self.filters = screened.filter("bits is not null").select("part", "bits")
-        self.entries = batch if self.entries is None else self.entries.unionByName(batch)
-        self.prints = new if self.prints is None else self.prints.unionByName(new)
-        maybe = wanted.join(screened.filter("bits is null").select("fp", "slot"), ["fp", "slot"])
-        near = maybe.select(F.col("id").alias("b"), "fp", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
-        store = self.prints.select(F.col("id").alias("a"), "fp", "slot")
-        shared = near.join(store, ["fp", "slot"]).filter("a <> b").select("a", "b").distinct()
-        side = lambda s: self.entries.select(*(F.col(c).alias(s if c == "id" else f"{s}_{c}") for c in ("id", *CONTENT, "first", "last")))
-        pairs = shared.join(side("a"), "a").join(side("b"), "b")
+        batch = both.groupBy("fp", "slot").agg(held.alias("held"), asked.alias("asked"), (held & asked & ~F.coalesce(alone, no)).alias("shared")).select(self._part(), "fp", "slot", "held", "asked", "shared")
+        maybe, filters = self._screened(batch, filters)
+        parts = [r.part for r in maybe.select("part").distinct().collect()]
+        spread = wanted.join(maybe.select("fp", "slot"), ["fp", "slot"]).select(F.col("id").alias("b"), "fp", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
+        own = entries.join(new.select("id", "fp"), "id")
+        side = ("fp", "slot", "id", *CONTENT, "first", "last")
+        there = self._stored(parts).filter("title is not null").select(*side, "root").unionByName(own.select(*side, F.col("id").alias("root")))
+        a = there.select("fp", "slot", "root", *(F.col(c).alias("a" if c == "id" else f"a_{c}") for c in ("id", *CONTENT, "first", "last")))
+        b = entries.select(*(F.col(c).alias("b" if c == "id" else f"b_{c}") for c in ("id", *CONTENT, "first", "last")))
+        pairs = spread.join(a, ["fp", "slot"]).filter("a <> b").join(b, "b")
         timely = (F.col("a_first") <= F.col("b_last") + days * DAY) & (F.col("b_first") <= F.col("a_last") + days * DAY)
-        spelled = (F.levenshtein("a_title", "b_title") <= EDITS) & (F.levenshtein("a_company", "b_company") <= EDITS)
-        same = pairs.filter((F.col("a_source") == F.col("b_source")) & (F.col("a_rank") == F.col("b_rank")) & timely & spelled & (same_place("a", "b") > 0))
-        return staged(same.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "links")
-
-
-def repeats(postings: DataFrame, deliveries: list, days: int = 10) -> DataFrame:
-    """(id, first): for each posting of `postings` (as vacancy_fields gives them, ids rising with time) the
-    lowest id of the same source that describes the same vacancy; its own id where it is the first.
-
-    deliveries: conditions on id; each is taken in after those before it, by filters and store. The result is
-    the same however postings are divided. Postings without title, company or time are the first of theirs.
-    """
-    known = postings.filter("at is not null and title <> '' and company <> ''")
-    parts = max(1, -(-2 * known.count() // PER_PART))  # at most two fingerprints each
-    history, links = History(parts), None
+        spelled = (F.levenshtein("a_title", "b_title", EDITS) >= 0) & (F.levenshtein("a_company", "b_company", EDITS) >= 0)
+        alike = pairs.filter(F.col("a_source").eqNullSafe(F.col("b_source")) & (F.col("a_rank") == F.col("b_rank")) & timely & spelled & (same_place("a", "b") > 0))
+        roots = lowest_linked(alike.select(F.col("b").alias("a"), F.col("root").alias("b")).filter("a <> b"))
+
+        # Postings of one content and slot share an entry.
+        slot = F.floor(F.col("at") / F.lit(days * DAY)).cast("long")
+        rooted = entries.join(roots, "id", "left").select(*CONTENT, "slot", "id", F.coalesce("root", "id").alias("root"))
+        on = [fields[c].eqNullSafe(rooted[c]) for c in CONTENT] + [slot == rooted["slot"]]
+        led = fields.join(rooted, on, "left").select(fields["id"], F.least(fields["id"], F.coalesce(rooted["root"], fields["id"])).alias("root"))
+        told = staged(known.unionByName(led), "roots")
+
+        # Store, filters, spellings and words take the delivery in.
+        blank = {c: F.lit(None).cast("string") for c in ("title", "rank", "company", "place")} | {c: F.lit(None).cast("long") for c in ("place_id", "first", "last")}
+        posted = fresh.select("id", "source", "key", key_print().alias("fp"), zero.alias("slot")).join(told, "id").withColumns(blank)
+        said = own.join(rooted.select("id", "root"), "id").withColumn("key", F.lit(None).cast("string"))
+        columns = [c.split()[0] for c in STORED.split(", ") if c != "part int"]
+        added = posted.select(*columns).unionByName(said.select(*columns)).withColumn("part", self._part())
+        self._write(added, version, "prints", "part")
+        self._write(filters, version, "filters")
+        self._write(texts.join(old, ["kind", "text"], "left_anti"), version, "texts")
+        self._write(words, version, "words")
+        state = self.state | {"version": version, "size": self.state["size"] + 3 * n, "prints": [*self.state["prints"], version], "texts": [*self.state["texts"], version]}
+        self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").text(f"{self.path}/state/v={version}")
+        self.state = state
+        discard(fresh, values, words, fields, entries, texts, near, wanted)
+        lowest = firsts.join(told, "id").select(F.col("source").alias("_s"), F.col("key").alias("_k"), "root")
+        same_posting = rows["source"].eqNullSafe(lowest["_s"]) & rows["key"].eqNullSafe(lowest["_k"])
+        return staged(rows.join(lowest, same_posting).filter("id > root").select("id", "root").distinct(), "repeats")
+
+
+def repeats(rows: DataFrame, places: DataFrame, settings: DataFrame, deliveries: list, path: str, days: int = 10) -> DataFrame:
+    """(id, root) of all rows that repeat an earlier one, taken in delivery after delivery (conditions on the columns
+    of rows) by the history at `path`."""
+    history, out = History.open(rows.sparkSession, path), None
     for holds in deliveries:
-        found = history.accept(staged(contents(postings.filter(holds), days), "contents"), days)
-        links = found if links is None else links.unionByName(found)
-    roots = lowest_linked(links)
-    # Postings of one content and slot share an entry, whichever delivery brought them.
-    slot = F.floor(F.col("at") / F.lit(days * DAY)).cast("long")
-    keys = [*CONTENT, "slot"]
-    entry = history.entries.groupBy(*keys).agg(F.min("id").alias("entry"))
-    rooted = entry.join(roots.select(F.col("id").alias("entry"), "root"), "entry", "left").select(*keys, F.coalesce("root", "entry").alias("root"))
-    on = [postings[c].eqNullSafe(rooted[c]) if c != "slot" else slot == rooted["slot"] for c in keys]
-    return postings.join(rooted, on, "left").select(postings["id"], F.least(postings["id"], F.coalesce("root", postings["id"])).alias("first"))
+        found = history.accept(rows.filter(holds), places, settings, days)
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -11,7 +11,7 @@ from tidewell.llm.matching import match_across, matched
 from tidewell.llm.near import expand_pairs, near_duplicates
 from tidewell.llm.places import map_places
 from tidewell.llm.vacancies import vacancy_fields
-from tidewell.session import staged, table
+from tidewell.session import scratch_path, staged, table
 
 
 def raw_places(raw: DataFrame, places: DataFrame) -> DataFrame:
@@ -71,16 +71,12 @@ def posting_key() -> Column:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Two deliveries, cut between batches at half of the rows: the second is held against what the first left."""
     raw = table(spark, d, "raw_jobs")
-    rows = staged(first_rows(raw, posting_key()), "first-rows")
-    postings = staged(vacancy_fields(rows, table(spark, d, "places"), table(spark, d, "source_settings")), "vacancies")
-    # Two deliveries of about as many rows: the second is held against filters and store of the first.
-    middle = postings.agg(F.percentile_approx("id", 0.5)).first()[0] or 0
-    first = repeats(postings, [F.col("id") <= middle, F.col("id") > middle])
-    keyed = raw.select("raw_id", "source", posting_key().alias("_key"))
-    numbers = keyed.groupBy("source", "_key").agg(F.min("raw_id").alias("id"))
-    lowest = numbers.join(first, "id").select("source", "_key", "first")
-    return keyed.join(lowest, ["source", "_key"]).filter("raw_id > first").select(F.col("first").alias("raw_id_a"), F.col("raw_id").alias("raw_id_b"))
+    rows = raw.select(F.col("raw_id").alias("id"), "source", posting_key().alias("key"), *FIELDS, F.coalesce("batch_no", F.lit(-1)).alias("batch_no"))
+    middle = rows.agg(F.percentile_approx("batch_no", 0.5)).first()[0] or 0
+    found = repeats(rows, table(spark, d, "places"), table(spark, d, "source_settings"), [F.col("batch_no") <= middle, F.col("batch_no") > middle], scratch_path(spark, "history"))
+    return found.select(F.col("root").alias("raw_id_a"), F.col("id").alias("raw_id_b"))
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found}

@@ -1,7 +1,8 @@
 """Postings brought to comparable form: words of title and company, place and time.
 
 Spelling is mended by the corpus itself: a word within two edits of one that is far more frequent is taken as
-that one. Counts cover all rows; words meet by the pigeonhole join of the place list.
+that one, and as what that one is mended to in turn. Only the ratio of their counts decides, so that the same
+words are mended however often each occurs. Words meet by the pigeonhole join of the place list.
 """
 
 from __future__ import annotations
@@ -22,10 +23,8 @@ SHORT = {
 RANKS = ["senior", "lead", "principal", "junior", "graduate", "head", "chief"]
 TITLE_NOISE = ["urgent", "immediate", "start", "hiring", "now", "apply", "remote", "hybrid", "contract", "the", "and", "a", "of", "for"]
 COMPANY_NOISE = ["pty", "ltd", "limited", "group", "holdings", "holding", "services", "australia", "aus", "inc", "llc", "plc", "corp", "company", "co", "the", "and", "nz"]
-#: A word is mended to one that is at least so many times as frequent,
+#: A word is mended to one that is at least so many times as frequent.
 RATIO = 8
-#: and that makes up at least one in so many rows.
-RARE = 20_000
 
 
 def _folded(c: str) -> Column:
@@ -49,38 +48,60 @@ def company_words(c: str) -> Column:
     return _words(F.regexp_replace(F.regexp_replace(_folded(c), "&", " and "), r"[.'’]", ""))
 
 
-def mended(values: DataFrame) -> DataFrame:
-    """values: kind, raw, rows, words. (kind, raw, words) with misspelled words mended: to a word of the same
-    kind within two edits (one below six letters; a swap of neighbours counts as one) that is RATIO times as
-    frequent and not rare itself, the nearest first, then the most frequent. Words of three letters stay as
-    they are."""
-    counts = staged(values.select("kind", "rows", F.explode("words").alias("word")).groupBy("kind", "word").agg(F.sum("rows").alias("n")), "words")
-    totals = values.groupBy("kind").agg(F.sum("rows").alias("all"))  # a row for each kind
-    refs = counts.join(F.broadcast(totals), "kind").filter(F.col("n") >= F.greatest(F.lit(RATIO), F.col("all") / RARE)).select(F.hash("word").cast("long").alias("place_id"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("country"), F.col("word").alias("city"), F.array().cast("array<string>").alias("aliases"))
+def spellings_of(rows: DataFrame) -> DataFrame:
+    """(kind, raw, rows, words) of the distinct titles and companies of rows; null is ''."""
+    titles = rows.groupBy(F.coalesce("title", F.lit("")).alias("raw")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("title").alias("kind"), "raw", "rows", title_words("raw").alias("words"))
+    firms = rows.groupBy(F.coalesce("company", F.lit("")).alias("raw")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("company").alias("kind"), "raw", "rows", company_words("raw").alias("words"))
+    return titles.unionByName(firms)
+
+
+def word_counts(values: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(kind, word, n) of spellings, on top of the counts of what came before."""
+    now = values.select("kind", F.explode("words").alias("word"), F.col("rows").alias("n"))
+    return (now if before is None else now.unionByName(before)).groupBy("kind", "word").agg(F.sum("n").alias("n"))
+
+
+def better_words(counts: DataFrame) -> DataFrame:
+    """(kind, word, better) of misspelled words: a word of the same kind within two edits (one below six letters; a
+    swap of neighbours counts as one) that is RATIO times as frequent; the nearest first, then the most frequent.
+    Where that one is mended itself, what it is mended to. Words of three letters stay as they are."""
+    none = F.lit(None).cast("string")
+    refs = counts.filter(F.col("n") >= RATIO).select(F.hash("word").cast("long").alias("place_id"), none.alias("state"), none.alias("country"), F.col("word").alias("city"), F.array().cast("array<string>").alias("aliases"))
     near = match_names(counts.filter(F.length("word") >= 4).select(F.col("word").alias("name")), refs).filter("name <> ref")
     swapped = F.expr("edits = 2 and length(name) = length(ref) and array_sort(split(name, '')) = array_sort(split(ref, ''))")
     near = near.withColumn("edits", F.when(swapped, 1).otherwise(F.col("edits"))).filter((F.col("edits") == 1) | (F.length("name") >= 6))
     a, b = counts.alias("a"), counts.alias("b")
-    best = (
+    best = staged(
         near.join(a, F.col("a.word") == F.col("name")).join(b, (F.col("b.word") == F.col("ref")) & (F.col("a.kind") == F.col("b.kind")))
         .filter(F.col("b.n") >= F.col("a.n") * RATIO)
         .groupBy(F.col("a.kind").alias("kind"), F.col("name").alias("word"))
-        .agg(F.max_by("ref", F.struct(-F.col("edits"), F.col("b.n"), F.col("ref"))).alias("better"))
+        .agg(F.max_by("ref", F.struct(-F.col("edits"), F.col("b.n"), F.col("ref"))).alias("better")), "better-words"
     )
-    spread = values.select("kind", "raw", F.posexplode("words").alias("at", "word")).join(best, ["kind", "word"], "left")
+    # Every step is RATIO times as frequent, so chains are short; each turn halves them.
+    while True:
+        on = best.select("kind", F.col("word").alias("better"), F.col("better").alias("far"))
+        if best.join(on, ["kind", "better"], "left_semi").isEmpty():
+            return best
+        best = staged(best.join(on, ["kind", "better"], "left").select("kind", "word", F.coalesce("far", "better").alias("better")), "better-words")
+
+
+def mended(values: DataFrame, counts: DataFrame) -> DataFrame:
+    """(kind, raw, words) of spellings, misspelled words mended by the counts of words."""
+    spread = values.select("kind", "raw", F.posexplode("words").alias("at", "word")).join(better_words(counts), ["kind", "word"], "left")
     return spread.groupBy("kind", "raw").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("better", "word").alias("w")))), lambda x: x["w"]).alias("words"))
 
 
-def vacancy_fields(rows: DataFrame, places: DataFrame, settings: DataFrame) -> DataFrame:
+def vacancy_fields(rows: DataFrame, places: DataFrame, settings: DataFrame, values: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """rows: id (bigint, unique), source, title, company, location_raw, posted_at_raw, scraped_at.
 
     One row for each: id, source, title (words without rank, sorted, one blank between), rank ('' if none),
     company, place_id (-1 where none is meant), place (city meant, else what is written, null for nothing),
-    at (microseconds: posted, else scraped; null without either). Nulls and blanks give '' and null.
+    at (microseconds: posted, else scraped; null without either). Nulls and blanks give '' and null. values and
+    counts: spellings of rows and the words by which they are mended, where these are more than the rows' own.
     """
-    titles = rows.groupBy(F.coalesce("title", F.lit("")).alias("raw")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("title").alias("kind"), "raw", "rows", title_words("raw").alias("words"))
-    firms = rows.groupBy(F.coalesce("company", F.lit("")).alias("raw")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("company").alias("kind"), "raw", "rows", company_words("raw").alias("words"))
-    fixed = staged(mended(staged(titles.unionByName(firms), "spellings")), "mended")
+    values = staged(spellings_of(rows), "spellings") if values is None else values
+    counts = staged(word_counts(values), "words") if counts is None else counts
+    fixed = staged(mended(values, counts), "mended")
     lits = lambda words: F.array(*(F.lit(w) for w in words))
     joined = lambda words: F.concat_ws(" ", F.array_sort(F.array_distinct(words)))
     title = fixed.filter("kind = 'title'").select(
