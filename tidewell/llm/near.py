@@ -3,12 +3,17 @@
 A fingerprint holds SYMBOLS minimum hashes of a text's shingles; the share of equal symbols estimates the
 Jaccard similarity. It is split into blocks of BLOCK symbols: two fingerprints that differ in fewer symbols
 than there are blocks surely share one, and at a similarity of 0.6 the odds of sharing none are 2 %, at 0.65
-0.2 %. Pairs that share a block are verified by the Hamming distance of their 128-bit sketches (one bit a
-symbol), and last exactly by their words.
+0.2 %. Pairs that share a block are verified by the Hamming distance of their sketches (one bit of each of the
+first SKETCH symbols), and last exactly by their words.
+
+The sketches join the pairs met, not the blocks: 80 blocks a text carry 11 bytes each through the shuffle, and would
+carry 43 with a sketch, while only some three distinct pairs a text are met.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +28,11 @@ from tidewell.session import staged
 
 SYMBOLS, BLOCK = 480, 6
 BLOCKS = SYMBOLS // BLOCK
-#: Bits of 128 that the sketches of a pair may differ in: at a similarity of 0.6, 25.6 are expected with a
-#: deviation of 4.5.
-HAMMING = 44
+#: Bits of a sketch, and how many of them may differ in a pair: at a similarity of 0.6, 51.2 are expected with a
+#: deviation of 6.4.
+SKETCH, HAMMING = 256, 78
+#: Columns of 64 bits that hold a sketch.
+HALVES = [f"s{i}" for i in range(SKETCH // 64)]
 
 _random = np.random.RandomState(20260101)
 _A = _random.randint(0, 1 << 31, SYMBOLS).astype(np.uint32) * 2 + 1
@@ -68,18 +75,18 @@ def symbols(shingles: np.ndarray) -> np.ndarray:
 
 
 def prints_of(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Block hashes (int32) and the two halves of the sketch (int64) of fingerprints, a row for each."""
+    """Block hashes (int32) and the sketch (int64 columns) of fingerprints, a row for each."""
     mixed = (least ^ (least >> np.uint32(15))) * np.uint32(0x85EBCA6B)
     blocks = np.zeros((len(mixed), BLOCKS), np.uint32)
     for j in range(BLOCK):
         blocks = (blocks ^ mixed[:, j::BLOCK]) * np.uint32(0xC2B2AE35)
         blocks ^= blocks >> np.uint32(13)
-    bits = np.packbits(((mixed[:, :128] >> np.uint32(9)) & np.uint32(1)).astype(np.uint8), axis=1)
+    bits = np.packbits(((mixed[:, :SKETCH] >> np.uint32(9)) & np.uint32(1)).astype(np.uint8), axis=1)
     return blocks.view(np.int32), np.ascontiguousarray(bits).view(np.int64)
 
 
 def fingerprints(texts: DataFrame, size: int, least_words: int) -> DataFrame:
-    """texts: id, lead, body. (id, c1, c2, s1, s2, blocks) of rows whose body has least_words words; c1 and c2
+    """texts: id, lead, body. (id, c1, c2, HALVES, blocks) of rows whose body has least_words words; c1 and c2
     are a 128-bit hash of the words of lead and body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +109,11 @@ def fingerprints(texts: DataFrame, size: int, least_words: int) -> DataFrame:
             parts.append(prints_of(np.array(least, np.uint32).reshape(-1, SYMBOLS)))
             blocks, sketch = (np.concatenate(x) for x in zip(*parts))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BLOCKS), pa.array(blocks.ravel()))
-            longs = [pa.array(v, pa.int64()) for v in (c1, c2, sketch[:, 0], sketch[:, 1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *longs, lists], names=["id", "c1", "c2", "s1", "s2", "blocks"])
+            longs = [pa.array(v, pa.int64()) for v in (c1, c2, *sketch.T)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *longs, lists], names=["id", "c1", "c2", *HALVES, "blocks"])
 
     ready = texts.select(F.col("id").cast("long"), F.coalesce("lead", F.lit("")).alias("lead"), "body").filter(F.col("id").isNotNull() & (F.length("body") >= 2 * least_words - 1))
-    return ready.mapInArrow(run, "id long, c1 long, c2 long, s1 long, s2 long, blocks array<int>")
+    return ready.mapInArrow(run, f"id long, c1 long, c2 long, {', '.join(f'{h} long' for h in HALVES)}, blocks array<int>")
 
 
 def _exact(pairs: DataFrame, size: int, least: float) -> DataFrame:
@@ -145,11 +152,12 @@ def near_duplicates(texts: DataFrame, size: int = 5, least: float = 0.8, least_w
     keys = reps.select("id", F.posexplode("blocks").alias("no", "h")).select("id", (F.shiftleft(F.col("no").cast("long"), 32).bitwiseXOR(F.col("h").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("key"))
     left, right = keys.withColumnRenamed("id", "a"), keys.withColumnRenamed("id", "b")
     met = left.join(right, "key").filter("a < b").select("a", "b").distinct()
-    sketch = lambda x: prints.select(F.col("id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"))
-    apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    sketch = lambda x: prints.select(F.col("id").alias(x), *(F.col(h).alias(x + h) for h in HALVES))
+    apart = functools.reduce(operator.add, (F.bit_count(F.col("a" + h).bitwiseXOR(F.col("b" + h))) for h in HALVES))
     close = staged(met.join(sketch("a"), "a").join(sketch("b"), "b").filter(apart <= HAMMING).select("a", "b"), "close-pairs")
     needed = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    words = texts.select(F.col("id").cast("long").alias("id"), F.concat_ws(" ", F.coalesce("lead", F.lit("")), "body").alias("text")).join(needed, "id", "left_semi")
+    long = texts.filter(F.length("body") >= 2 * least_words - 1)  # as for fingerprints: no others can be needed
+    words = long.select(F.col("id").cast("long").alias("id"), F.concat_ws(" ", F.coalesce("lead", F.lit("")), "body").alias("text")).join(needed, "id", "left_semi")
     wanted = staged(words, "close-texts")
     full = close.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     least_ids = grouped.agg(F.min("id").alias("rep"))
