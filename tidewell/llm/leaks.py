@@ -1,8 +1,10 @@
-"""Test passages inside corpus documents, by greedy string tiling over shared-word seeds.
+"""Test passages inside corpus documents, by greedy string tiling over joined seeds.
 
-Documents stream past an index of the items. Windows of `least` words that both share are the seeds, found
-by running Karp-Rabin hashes; greedy tiling then marks the longest matches that do not overlap, so that
-passages whose parts were put in another order are covered too.
+Windows of SEED words that a document and an item share are the seeds, found by running Karp-Rabin hashes. Documents
+pass a bitmap of the items' hashes, which has one size however many items there are; what passes is joined with
+the items' seeds by hash. Each pair that met is tiled: the longest matches that do not overlap are marked, longest
+first, so that the first tile is the longest passage both have, and passages whose parts were put in another order
+are told by how much of the item all tiles cover.
 """
 
 from __future__ import annotations
@@ -12,27 +14,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.tokens import _strings
+from tidewell.session import staged
 
 WORD = re.compile(r"[a-z0-9]+")
-#: Words of items in one block; the index of a block goes to every executor, so its size is bounded by this.
-BLOCK_WORDS = 400_000
+#: Words of a seed, and of the shortest tile.
+SEED = 5
+#: Bits of the map of item seeds that goes to every executor.
+BITS = 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_codes: dict[str, int] = {}
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def running_hashes(ids: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Karp-Rabin hashes, mod 2^64, of the windows of `width` ids at starts."""
-    out = np.zeros(len(starts), np.uint64)
+def code_of(word: str) -> int:
+    """64 bits of a word, kept for words seen before."""
+    code = _codes.get(word)
+    if code is None:
+        if len(_codes) > 500_000:
+            _codes.clear()
+        code = _codes[word] = xxhash.xxh3_64_intdigest(word)
+    return code
+
+
+def codes_of(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(code_of, words), np.uint64, len(words))
+
+
+def running_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """Karp-Rabin hashes, mod 2^64, of all windows of `width` codes."""
+    out = np.zeros(max(len(codes) - width + 1, 0), np.uint64)
     for j in range(width):
-        out = out * _BASE + ids[starts + j].astype(np.uint64)
-    return out
+        out = out * _BASE + codes[j : j + len(out)]
+    return out ^ (out >> np.uint64(31))
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
@@ -63,90 +84,87 @@ def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], least
         seeds = [(a, b) for a, b in seeds if free_doc[a] and free_item[b]]
 
 
-class ItemIndex:
-    def __init__(self, items: list[tuple[int, str]], least: int) -> None:
-        self.least = least
-        self.number: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
-        hashes, where = [], []
-        for key, text in items:
-            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)], np.int64)
-            if len(ids) >= least:
-                starts = np.arange(len(ids) - least + 1)
-                hashes.append(running_hashes(ids, starts, least))
-                where.extend((len(self.items), int(s)) for s in starts)
-            self.items.append((key, ids))
-        all_hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.hashes = np.unique(all_hashes)
-        self.at: dict[int, list[tuple[int, int]]] = {}
-        for h, w in zip(all_hashes.tolist(), where):
-            self.at.setdefault(h, []).append(w)
-
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
-        """(row, item, longest tile, covered words, tiles, item words) of rows with a tile."""
-        get, out = self.number.get, []
-        lists = [words_of(t) for t in texts]
-        ends = np.cumsum([0, *map(len, lists)])
-        if not len(self.hashes) or ends[-1] < self.least:
-            return out
-        ids = np.fromiter((get(w, 0) for words in lists for w in words), np.int64, int(ends[-1]))
-        known = np.concatenate([[0], np.cumsum(ids > 0)])
-        starts = np.flatnonzero(known[self.least :] - known[: -self.least] == self.least)
-        row = np.searchsorted(ends, starts, "right") - 1
-        inside = starts + self.least <= ends[row + 1]
-        starts, row = starts[inside], row[inside]
-        hashes = running_hashes(ids, starts, self.least)
-        spot = np.searchsorted(self.hashes, hashes)
-        hit = self.hashes[np.minimum(spot, len(self.hashes) - 1)] == hashes
-        seeds: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for s, r, h in zip(starts[hit].tolist(), row[hit].tolist(), hashes[hit].tolist()):
-            for item, j in self.at[h]:
-                seeds.setdefault((r, item), []).append((s - int(ends[r]), j))
-        for (r, item), pairs in seeds.items():
-            key, words = self.items[item]
-            found = tiles(ids[ends[r] : ends[r + 1]], words, pairs, self.least)
-            if found:
-                out.append((r, key, max(t[2] for t in found), sum(t[2] for t in found), len(found), len(words)))
-        return out
-
-
-def item_blocks(items: DataFrame, key: str, text: str, block_words: int = BLOCK_WORDS) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about block_words words each. Items whose key or text is null are left out."""
-    size = F.greatest(F.length(text) / F.lit(4), F.lit(1))
-    block = F.floor(F.sum(size).over(Window.orderBy(key)) / F.lit(block_words))
-    numbered = items.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), block.alias("b"))
-    out: dict[int, list[tuple[int, str]]] = {}
-    for k, t, b in numbered.collect():  # the stated query set, gone through in blocks
-        out.setdefault(b, []).append((k, t))
-    return [out[b] for b in sorted(out)]
+def tiled(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Tiles of two lists of word codes, from all the windows they share."""
+    at: dict[int, list[int]] = {}
+    for j, h in enumerate(running_hashes(item, least).tolist()):
+        at.setdefault(h, []).append(j)
+    seeds = [(i, j) for i, h in enumerate(running_hashes(doc, least).tolist()) for j in at.get(h, ())]
+    return tiles(doc, item, seeds, least) if seeds else []
+
+
+def seed_map(seeds: DataFrame) -> np.ndarray:
+    """A bitmap of BITS bits of the hashes h of seeds: brought together as maps, never as seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy().view(np.uint64) % np.uint64(BITS)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], names=["bits"])
+
+    out = np.zeros(BITS // 8, np.uint8)
+    for row in seeds.select("h").coalesce(64).mapInArrow(run, "bits binary").toLocalIterator():  # one map at a time
+        out |= np.frombuffer(row.bits, np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _with_hashes(rows: DataFrame, width: int, bits=None) -> DataFrame:
+    """rows: n, key, text. (n, key, text, hashes): distinct hashes of the windows of each text, only those that the
+    map `bits` has, where it is given. Texts without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if bits is None else bits.value
+        for batch in batches:
+            lists = [words_of(t) for t in _strings(batch.column(2))]
+            ends = np.cumsum([0, *map(len, lists)])
+            hashes = running_hashes(codes_of([w for words in lists for w in words]), width)
+            start = np.arange(len(hashes))
+            row = np.searchsorted(ends, start, "right") - 1
+            inside = start + width <= ends[row + 1] if len(hashes) else np.zeros(0, bool)
+            if known is not None:
+                inside &= known[hashes % np.uint64(BITS)]
+            both = np.unique(np.stack([row[inside].astype(np.int64), hashes[inside].view(np.int64)], 1), axis=0)
+            kept, sizes = np.unique(both[:, 0], return_counts=True)
+            found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.ascontiguousarray(both[:, 1])))
+            at = pa.array(kept)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), found], names=["n", "key", "text", "hashes"])
+
+    kind = dict(rows.dtypes)["key"]
+    return rows.mapInArrow(run, f"n long, key {kind}, text string, hashes array<long>")
 
 
 def find_leaks(
-    documents: DataFrame, items: DataFrame, least: int = 13, coverage: float = 0.0, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
+    documents: DataFrame, items: DataFrame, longest: int = 13, coverage: float = 0.0, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", seed: int = SEED
 ) -> DataFrame:
-    """(key, item_key, longest, covered, tiles, coverage) of documents and items that share a run of `least`
-    words, with covered words / words of the item >= coverage. One row for each document row and item: a
-    document row given twice is found twice. Null and empty texts and items shorter than least find nothing.
-    No shuffle: the corpus is read once for each block of items."""
+    """(key, item_key, longest, covered, tiles, coverage) of documents and items that share a run of `longest` words or
+    more, and whose tiles of at least `seed` words cover at least the share `coverage` of the item's words. With
+    `longest` = `seed`, coverage alone decides: passages cut up and put in another order are found too.
+
+    One row for each document row and item: a document row given twice is found twice. Null and empty texts, items
+    with fewer words than `seed` and null item keys find nothing. seed must not be above longest.
+    """
     spark = documents.sparkSession
+    numbered = lambda rows, k, t: rows.select(F.monotonically_increasing_id().alias("n"), F.col(k).alias("key"), F.col(t).cast("string").alias("text")).filter(F.length("text") >= 2 * seed - 1)
+    asked = staged(_with_hashes(numbered(items.filter(F.col(item_key).isNotNull()), item_key, item_text), seed), "item-seeds")
+    item_seeds = asked.select(F.col("n").alias("m"), F.explode("hashes").alias("h"))
+    bits = spark.sparkContext.broadcast(seed_map(item_seeds))
+    hit = staged(_with_hashes(numbered(documents, key, text), seed, bits), "seeded-texts")
+    met = hit.select("n", F.explode("hashes").alias("h")).join(item_seeds, "h").select("n", "m").distinct()
+    pairs = met.join(hit.select("n", "key", "text"), "n").join(asked.select(F.col("n").alias("m"), F.col("key").alias("item"), F.col("text").alias("passage")), "m").select("key", "item", "text", "passage")
     kinds = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
-    schema = f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}, longest int, covered int, tiles int, coverage double"
-    slim = documents.select(F.col(key), F.col(text).cast("string").alias("text")).filter(F.length("text") >= 2 * least - 1)
-    out = None
-    for block in item_blocks(items, item_key, item_text):
-        sent = spark.sparkContext.broadcast(ItemIndex(block, least))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            for batch in batches:
-                found = [f for f in index.search(_strings(batch.column(1))) if f[3] >= coverage * f[5]]
-                rows = pa.array([f[0] for f in found], pa.int64())
-                columns = [pa.array([f[i] for f in found], kind) for i, kind in ((1, None), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))]
-                if not found:
-                    continue
-                share = pa.array([f[3] / f[5] for f in found], pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *columns, share], names=[key, item_key, "longest", "covered", "tiles", "coverage"])
-
-        part = slim.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, (t, p) in enumerate(zip(_strings(batch.column(2)), _strings(batch.column(3)))):
+                passage = codes_of(words_of(p))
+                found = tiled(codes_of(words_of(t)), passage, seed)
+                covered = sum(x[2] for x in found)
+                if found and found[0][2] >= longest and covered >= coverage * len(passage):
+                    out.append((i, found[0][2], covered, len(found), covered / len(passage)))
+            at, *numbers = ([r[c] for r in out] for c in range(5))
+            rows = pa.array(at, pa.int64())
+            values = [pa.array(v, t) for v, t in zip(numbers, (pa.int32(), pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *values], names=[key, item_key, "longest", "covered", "tiles", "coverage"])
+
+    return pairs.mapInArrow(run, f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}, longest int, covered int, tiles int, coverage double")

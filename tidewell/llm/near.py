@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.leaks import words_of
+from tidewell.llm.leaks import codes_of, words_of
 from tidewell.llm.tokens import _strings
 from tidewell.session import staged
 
@@ -41,21 +41,10 @@ _B = _random.randint(0, 1 << 31, SYMBOLS).astype(np.uint32)
 SPAN = 4096
 #: Fingerprints cut into blocks in one go.
 TOGETHER = 512
-_codes: dict[str, int] = {}
-
-
-def _code(word: str) -> int:
-    code = _codes.get(word)
-    if code is None:
-        if len(_codes) > 500_000:
-            _codes.clear()
-        code = _codes[word] = xxhash.xxh3_64_intdigest(word)
-    return code
-
 
 def shingle_hashes(words: list[str], size: int) -> np.ndarray:
     """32-bit hashes of the runs of `size` words; of all words if there are fewer."""
-    codes = np.fromiter(map(_code, words), np.uint64, len(words))
+    codes = codes_of(words)
     size = min(size, len(codes))
     h = np.zeros(len(codes) - size + 1, np.uint64)
     for j in range(size):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.leaks import find_leaks
+from tidewell.llm.leaks import SEED, find_leaks
 from tidewell.llm.reading import reading_levels
 from tidewell.llm.tokens import encode_corpus
 from tidewell.session import table
@@ -27,11 +27,21 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_covered", F.lit(0.0)).alias("most_covered"))
 
 
+#: Share of an item's words that a document's tiles must cover to count as taken from it, in whatever order.
+COVERED = 0.5
+
+
+def p9_reordered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose tiles cover half of an item though no run of 13 words is shared: passages cut up and reordered."""
+    found = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), longest=SEED, coverage=COVERED)
+    return found.filter("longest < 13").select("doc_id", "item_id", "longest", "covered", "tiles")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", "reading_level")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
+QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p9_reordered": p9_reordered, "p10_found": p10_found}
 
 SQL = {
     "p9_found": r"""
