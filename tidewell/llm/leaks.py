@@ -108,9 +108,20 @@ def seed_map(seeds: DataFrame) -> np.ndarray:
     return np.unpackbits(out).astype(bool)
 
 
-def _with_hashes(rows: DataFrame, width: int, bits=None) -> DataFrame:
-    """rows: n, key, text. (n, key, text, hashes): distinct hashes of the windows of each text, only those that the
-    map `bits` has, where it is given. Texts without any are left out."""
+def in_stretches(passes: np.ndarray, least: int) -> np.ndarray:
+    """Which of a row of marks stand in a stretch of at least so many marks."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], passes.view(np.int8), [0]])))
+    lengths = edges[1::2] - edges[::2]
+    out = passes.copy()
+    for start, n in zip(edges[::2][lengths < least], lengths[lengths < least]):
+        out[start : start + n] = False
+    return out
+
+
+def _with_hashes(rows: DataFrame, width: int, bits=None, in_a_row: int = 1) -> DataFrame:
+    """rows: n, key, text. (n, key, text, size: words, hashes, times): distinct hashes of the windows of each text with the
+    number of their places; only those that the map `bits` has, where it is given, at so many places in a row.
+    Texts without any are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bits is None else bits.value
@@ -121,16 +132,17 @@ def _with_hashes(rows: DataFrame, width: int, bits=None) -> DataFrame:
             start = np.arange(len(hashes))
             row = np.searchsorted(ends, start, "right") - 1
             inside = start + width <= ends[row + 1] if len(hashes) else np.zeros(0, bool)
-            if known is not None:
-                inside &= known[hashes % np.uint64(BITS)]
-            both = np.unique(np.stack([row[inside].astype(np.int64), hashes[inside].view(np.int64)], 1), axis=0)
+            if known is not None:  # the last windows of a text reach into the next one, so no stretch does
+                inside = in_stretches(inside & known[hashes % np.uint64(BITS)], in_a_row)
+            both, times = np.unique(np.stack([row[inside].astype(np.int64), hashes[inside].view(np.int64)], 1), axis=0, return_counts=True)
             kept, sizes = np.unique(both[:, 0], return_counts=True)
-            found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.ascontiguousarray(both[:, 1])))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x))) for x in (both[:, 1], times.astype(np.int32))]
             at = pa.array(kept)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), found], names=["n", "key", "text", "hashes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(np.diff(ends)[kept].astype(np.int32)), *lists], names=["n", "key", "text", "size", "hashes", "times"])
 
     kind = dict(rows.dtypes)["key"]
-    return rows.mapInArrow(run, f"n long, key {kind}, text string, hashes array<long>")
+    return rows.mapInArrow(run, f"n long, key {kind}, text string, size int, hashes array<long>, times array<int>")
 
 
 def find_leaks(
@@ -146,10 +158,13 @@ def find_leaks(
     spark = documents.sparkSession
     numbered = lambda rows, k, t: rows.select(F.monotonically_increasing_id().alias("n"), F.col(k).alias("key"), F.col(t).cast("string").alias("text")).filter(F.length("text") >= 2 * seed - 1)
     asked = staged(_with_hashes(numbered(items.filter(F.col(item_key).isNotNull()), item_key, item_text), seed), "item-seeds")
-    item_seeds = asked.select(F.col("n").alias("m"), F.explode("hashes").alias("h"))
+    item_seeds = asked.select(F.col("n").alias("m"), "size", F.explode(F.arrays_zip(F.col("hashes").alias("h"), F.col("times").alias("t"))).alias("s")).select("m", "size", "s.h", "s.t")
     bits = spark.sparkContext.broadcast(seed_map(item_seeds))
-    hit = staged(_with_hashes(numbered(documents, key, text), seed, bits), "seeded-texts")
-    met = hit.select("n", F.explode("hashes").alias("h")).join(item_seeds, "h").select("n", "m").distinct()
+    hit = staged(_with_hashes(numbered(documents, key, text), seed, bits, longest - seed + 1), "seeded-texts")
+    # What is asked for needs seeds at so many places of the item: a run has one for each of its words but the last
+    # few, and tiles cover at most `seed` words for each.
+    places = F.greatest(F.lit(longest - seed + 1), F.ceil(F.lit(coverage) * F.col("size") / seed))
+    met = hit.select("n", F.explode("hashes").alias("h")).join(item_seeds, "h").groupBy("n", "m", "size").agg(F.sum("t").alias("at")).filter(F.col("at") >= places).select("n", "m")
     pairs = met.join(hit.select("n", "key", "text"), "n").join(asked.select(F.col("n").alias("m"), F.col("key").alias("item"), F.col("text").alias("passage")), "m").select("key", "item", "text", "passage")
     kinds = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
 
