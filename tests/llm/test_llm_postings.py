@@ -128,3 +128,37 @@ def test_matching_across_boards(spark, places):
     got = {(r.a, r.b) for r in matched(match_across(fields)).collect()}
     assert got <= same and len(got) >= 0.95 * len(same)
     assert match_across(fields.limit(0)).count() == 0
+
+
+FIELDS = "id long, source string, title string, rank string, company string, place_id long, place string, at long"
+DAY = 86_400_000_000
+
+
+def _fields(spark, more):
+    """150 vacancies far apart in time, two in three on two boards, and `more` rows."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(150):
+        title, firm = rng.choice(["baker tram", "diver gas", "crane nurse"]), rng.choice(["amber steel", "birch foods", "cedar print"])
+        rows.append((2 * k, "a", title, "", firm, 1, "fern creek", 40 * k * DAY))
+        if k % 3:
+            rows.append((2 * k + 1, "b", title, "", firm, 1, "fern creek", (40 * k + rng.randint(0, 9)) * DAY))
+        else:
+            rows.append((2 * k + 1, "b", title, "senior", firm, 2, "nordhaven", (40 * k + 5) * DAY))
+    return spark.createDataFrame(rows + more, FIELDS)
+
+
+def test_implied_pairs_without_a_block_are_candidates(spark):
+    at = 9000 * DAY
+    more = [(900, "a", "glass painter", "", "dune health", 3, "nordhaven", at), (901, "b", "glass painter", "", "dune heath", 3, "nordhaven", at + DAY), (902, "c", "glass paintr", "", "dune heath", 3, "nordhaven", at + 2 * DAY)]
+    got = {(r.a, r.b): r.confidence for r in match_across(_fields(spark, more)).collect()}
+    assert all(got[p] >= 0.5 for p in ((900, 901), (901, 902), (900, 902)))
+
+
+def test_constraints_move_all_three_posteriors(spark):
+    """A row without a place agrees with rows of two places that cannot both be it."""
+    at = 9000 * DAY
+    more = [(900, "a", "glass painter", "", "dune health", 3, "nordhaven", at), (901, "b", "glass painter", "", "dune health", -1, None, at), (902, "c", "glass painter", "", "dune health", 4, "twin hill", at)]
+    got = {(r.a, r.b): r.confidence for r in match_across(_fields(spark, more)).collect()}
+    assert got[900, 902] < 0.5 and max(got[900, 901], got[901, 902]) < 0.9
+    assert got[900, 901] + got[901, 902] - 1 <= got[900, 902] + 1e-6

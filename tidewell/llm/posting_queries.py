@@ -63,6 +63,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return matched(p5_scored(spark, d)).select(F.col("a").alias("raw_id_a"), F.col("b").alias("raw_id_b"))
 
 
+def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that shares a block or is implied, with its posterior and its similarities in twentieths."""
+    scored = p5_scored(spark, d)
+    return scored.select(F.col("a").alias("raw_id_a"), F.col("b").alias("raw_id_b"), F.round("confidence", 4).alias("confidence"), *(c for c in scored.columns if c.startswith("f_")))
+
+
 def posting_key() -> Column:
     """The board's number of a posting, whatever is written around it; else the number in its url; else the
     row stands alone."""
@@ -79,7 +85,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("root").alias("raw_id_a"), F.col("id").alias("raw_id_b"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_found": p7_found}
 
 
 

@@ -125,9 +125,3 @@ def same_place(x: str, y: str) -> Column:
     n = lambda side: F.col(f"{side}_place")
     both = (p(x) >= 0) & (p(y) >= 0)
     return F.when(both, (p(x) == p(y)).cast("double")).when(n(x).isNull() | n(y).isNull(), 0.5).otherwise((F.levenshtein(n(x), n(y)) <= 2).cast("double"))
-
-
-def alike(x: str, y: str) -> Column:
-    """Similarity of two texts: 1 less edits over the longer length; 0.5 where both are empty."""
-    longer = F.greatest(F.length(x), F.length(y))
-    return F.when(longer == 0, 0.5).otherwise(1 - F.levenshtein(x, y) / longer)
