@@ -217,3 +217,33 @@ def test_a_snapshot_without_rows_of_a_bucket(spark):
     got = sorted(tuple(r) for r in S.diff_snapshots(table, "no", "delivery", "id", "seen", F.xxhash64("v"), 2, 1.0).collect())
     want = [(2, f"a{i}", "removed") for i in range(30) if i != 1] + [(3, f"a{i}", "added") for i in range(30) if i != 1] + [(3, "a1", "changed")]
     assert got == sorted(want)
+
+
+def test_values_overrule_the_declared_order(spark):
+    """A source declared day first whose values can only be month first: what could be both is read month first."""
+    rows = [("s", f"{1 + i % 9:02d}/{13 + i % 15}/2026") for i in range(600)] + [("s", "03/04/2026"), ("t", "03/04/2026")]
+    table = spark.createDataFrame([(i, s, v) for i, (s, v) in enumerate(rows)], "id long, source string, v string").withColumn("seen", F.lit("2026-12-01").cast("timestamp"))
+    settings = spark.createDataFrame([("s", "UTC", "DMY"), ("t", "UTC", "DMY")], "source string, tz string, date_order string")
+    got = {r.id: r for r in normalise_times(table, settings, ["id"], "v", "seen").collect()}
+    assert (got[600].date_form, str(got[600].posted_at)[:10], got[600].ambiguous) == ("MDY", "2026-03-04", False)
+    assert (got[601].date_form, str(got[601].posted_at)[:10]) == ("DMY", "2026-04-03")
+    assert all(got[i].date_form == "MDY" for i in range(600))
+
+
+def test_times_that_occur_twice_are_marked(spark):
+    """Melbourne puts its clocks back on 5 April 2026 at 3: half past two comes twice, the earlier one is taken."""
+    cases = {"2026-04-05 02:30": ("2026-04-04 15:30:00", True), "2026-04-05 02:30 AEST": ("2026-04-04 16:30:00", False), "2026-04-05 04:30": ("2026-04-04 18:30:00", False), "2026-04-05 2:30 am": ("2026-04-04 15:30:00", True), "2026-04-05": ("2026-04-04 13:00:00", False)}
+    table = spark.createDataFrame([(v, "s", v) for v in cases], "id string, source string, v string").withColumn("seen", F.lit(None).cast("timestamp"))
+    settings = spark.createDataFrame([("s", "Australia/Melbourne", "DMY")], "source string, tz string, date_order string")
+    out = normalise_times(table, settings, ["id"], "v", "seen")
+    got = {r.id: (r.at, r.ambiguous, r.confidence) for r in out.select("id", "ambiguous", "confidence", F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("at")).collect()}
+    assert got == {v: (at, twice, 0.5 if twice else 1.0) for v, (at, twice) in cases.items()}
+
+
+def test_long_ago_is_no_time_before_the_first_year(spark):
+    assert readings("1000000 days ago", 1_700_000_000_000_000, None) == {} and readings("150000 hours ago", 1_700_000_000_000_000, None) != {}
+
+
+def test_two_digit_years_may_come_first(spark):
+    assert set(readings("26/11/05", None, None)) == {"DMY", "YMD"} and set(readings("01/02/03", None, None)) == {"DMY", "MDY", "YMD"}
+    assert set(readings("04/04/2026", None, None)) == {"sure"}

@@ -38,7 +38,9 @@ _DAY_MON = re.compile(rf"^(?:[A-Za-z]{{3,9}},?\s+)?(\d{{1,2}})(?:st|nd|rd|th)?[\
 _MON_DAY = re.compile(rf"^(?:[A-Za-z]{{3,9}},?\s+)?([A-Za-z]{{3,9}})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){_TIME}$", re.I)
 _DIGITS = re.compile(r"^\d{9,16}$")
 
-DMY, MDY, SURE = "DMY", "MDY", "sure"
+DMY, MDY, YMD, SURE = "DMY", "MDY", "YMD", "sure"
+#: Forms a date with slashes may have; the last one only with a year of two digits.
+FORMS = (DMY, MDY, YMD)
 
 
 @lru_cache(maxsize=1024)
@@ -91,9 +93,25 @@ def _month(word: str) -> int | None:
     return MONTHS.get(word[:3].lower()) if re.fullmatch(r"jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sept?(ember)?|oct(ober)?|nov(ember)?|dec(ember)?", word, re.I) else None
 
 
+def twice(moment: int, tz: str | None) -> bool:
+    """Whether the local time of an instant occurs twice in its zone, by a clock put back."""
+    zone = _zone(tz) or timezone.utc
+    local = (EPOCH + timedelta(microseconds=moment)).astimezone(zone).replace(tzinfo=None)
+    return local.replace(tzinfo=zone).utcoffset() != local.replace(tzinfo=zone, fold=1).utcoffset()
+
+
+_TOLD = re.compile(r"(?:\d|[ap]\.?m\.?)\s*(?:Z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Z]{2,5}|[A-Za-z]+/[A-Za-z_/]+|\[[^\]]+\])$", re.I)
+
+
+def unsaid_zone(raw: str | None) -> bool:
+    """Whether a value states a clock time, but no zone."""
+    text = " ".join((raw or "").split())
+    return re.search(r"\d:\d{2}", text) is not None and (_TOLD.search(text) is None or re.search(r"[ap]\.?m\.?$", text, re.I) is not None)
+
+
 def readings(raw: str | None, scraped_micros: int | None, tz: str | None) -> dict[str, int]:
     """{format: UTC microseconds} for each valid reading. One sure reading for most notations; for dates
-    with slashes up to two, DMY and MDY. Empty for null, blank and meaningless values, and for relative
+    with slashes up to three, FORMS. Empty for null, blank and meaningless values, and for relative
     values without scraped_at or from before the year 1. tz: zone of values that name none; UTC where it is null or unknown."""
     text = " ".join((raw or "").split())
     if not text:
@@ -112,16 +130,17 @@ def readings(raw: str | None, scraped_micros: int | None, tz: str | None) -> dic
         one = _build(*g[:3], (*g[3:7], None), g[7:], default)
     elif m := _SLASH.match(text):
         a, mark, b, year, *rest = m.groups()
-        year = year if len(year) == 4 else "20" + year
+        short, year = len(year) == 2, year if len(year) == 4 else "20" + year
         dmy = _build(year, b, a, rest[:5], rest[5:], default)
         if mark != "/":  # dotted dates are day first
             one = dmy
         else:
             mdy = _build(year, a, b, rest[:5], rest[5:], default)
-            if a == b or dmy == mdy:
-                one = dmy
-            else:
-                return {k: v for k, v in ((DMY, dmy), (MDY, mdy)) if v is not None}
+            ymd = _build("20" + a, b, year[2:], rest[:5], rest[5:], default) if short and len(a) == 2 else None
+            found = {k: v for k, v in zip(FORMS, (dmy, mdy, ymd)) if v is not None}
+            if len(set(found.values())) != 1 or dmy is None:
+                return found
+            one = dmy
     elif m := _DAY_MON.match(text):
         g = m.groups()
         one = _build(g[2], _month(g[1]) or 0, g[0], g[3:8], g[8:], default)
