@@ -69,7 +69,7 @@ def test_texts(spark):
     assert one(spark, "2,000+ tests, three cycles, SIT331, Vue3, ~35s", X.numbers_in) == ["2000", "35", "3"]
     assert one(spark, "One. Two!  Three?\n\nFour", X.sentences) == ["One.", "Two!", "Three?", "Four"]
     assert one(spark, "a b", X.trigrams) == [] and one(spark, "a b c d", X.trigrams) == ["a b c", "b c d"]
-    assert one(spark, "<p>Hi&nbsp;<b>you</b></p><ul><li>x</li></ul><script>z</script>", X.strip_html) == "Hi you \n - x"
+    assert one(spark, "<p>Hi&nbsp;<b>you</b></p><ul><li>x</li></ul><script>z</script>", X.strip_html) == "Hi you\n- x"
     assert one(spark, None, X.collapse) == "" and one(spark, "a  b\n", X.collapse) == "a b" and one(spark, " ", X.word_count) == 0
 
 

@@ -161,8 +161,14 @@ def days_since(at: Column, now: Column) -> Column:
 
 
 def platform(url: Column) -> Column:
+    """The board that a url belongs to, by the name of its site; null for others."""
     low = F.lower(url)
-    return F.when(F.contains(low, F.lit("linkedin.")), "linkedin").when(F.contains(low, F.lit("seek.")), "seek")
+    return F.when(F.contains(low, F.lit("linkedin.com")), "linkedin").when(F.contains(low, F.lit("seek.com")), "seek")
+
+
+def url_host(url: Column) -> Column:
+    """The host of a url in lower case, that of a mobile page as of the page itself; '' where there is none."""
+    return F.regexp_replace(F.regexp_extract(F.lower(url), "^[a-z]+://([^/:?#]+)", 1), r"^m\.", "")
 
 
 # Tags in order, their patterns, and whether only the title is read.
@@ -263,5 +269,21 @@ def liveness(source: Column, html: Column) -> Column:
 
 
 def apply_method(html: Column) -> Column:
+    """'external', 'quick_apply', 'easy_apply' or null of a detail page: a flag of the first board's data, else what
+    the button of the second board's page leads to."""
     out = F.regexp_extract(html, r'"isLinkOut"\s*:\s*(true|false)', 1)
-    return F.when(out == "true", "external").when(out == "false", "quick_apply")
+    button = F.regexp_extract(html, "public_jobs_apply-link-(onsite|simple|offsite)", 1)
+    return F.when(out == "true", "external").when(out == "false", "quick_apply").when(button == "offsite", "external").when(button != "", "easy_apply")
+
+
+# Names of the ways to apply.
+APPLY_LABELS = {"easy_apply": "Easy Apply", "quick_apply": "Quick Apply", "external": "External"}
+
+
+def apply_label(method: Column) -> Column:
+    return F.coalesce(*(F.when(method == code, name) for code, name in APPLY_LABELS.items()), F.lit(""))
+
+
+def batch_name(at: Column) -> Column:
+    """A name for a batch begun at a time, in the session's zone."""
+    return F.date_format(at, "yyyy-MM-dd-HH-mm-ss")

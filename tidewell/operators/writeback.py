@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.postings import company_key, folder_name
+
 
 def judge(state: DataFrame, verdicts: DataFrame, key: str, field: str, value: str, edges: list[tuple[str, str]]) -> DataFrame:
     """(key, value, reason) for each verdict: reason is null where the step from the state's field is one of
@@ -44,3 +46,21 @@ def mark_checked(rows: DataFrame, pages: DataFrame, key: str, verdict: Column, n
         "checked_at": F.when(F.col("_seen").isNotNull(), now).otherwise(F.col("checked_at")),
         "expired_at": F.coalesce("expired_at", F.when(F.col("_seen") == "expired", now)),
     }).select(*rows.columns)
+
+
+def resolve_folders(companies: DataFrame, folders: DataFrame) -> DataFrame:
+    """(company, folder): a folder of the name that the company would give, in any case; else the first by name of
+    the same company; else that name, as a new folder."""
+    exact = folders.groupBy(F.lower("folder").alias("_low")).agg(F.min("folder").alias("_exact"))
+    same = folders.groupBy(company_key(F.col("folder")).alias("_key")).agg(F.min("folder").alias("_same"))
+    asked = companies.select("company", folder_name(F.col("company")).alias("_wanted"), company_key(F.col("company")).alias("_key"))
+    joined = asked.join(exact, F.lower("_wanted") == F.col("_low"), "left").join(same, "_key", "left")
+    return joined.select("company", F.coalesce("_exact", "_same", "_wanted").alias("folder"))
+
+
+def planned(searches: DataFrame, sources: DataFrame, max_pages: int) -> DataFrame:
+    """(search_query, search_location, source, max_pages): enabled searches on each of their sources; sources not
+    known or not enabled are left out. A search's own number of pages goes before the default."""
+    each = searches.filter("enabled").select("search_query", "search_location", "max_pages", F.explode("sources").alias("source"))
+    on = sources.filter("enabled").select("source")
+    return each.join(on, "source", "left_semi").select("search_query", "search_location", "source", F.coalesce("max_pages", F.lit(max_pages).cast("long")).alias("max_pages"))

@@ -126,9 +126,9 @@ def extract_tags(spark, d):
     return raw(spark, d).select("raw_id", F.concat_ws(",", P.tags(F.col("title"), F.col("teaser"), F.col("description"))).alias("tags"))
 
 
-@query("SELECT id FROM jobs WHERE list_contains(tags, 'remote') AND list_contains(tags, 'hybrid')")
+@query("SELECT id FROM jobs WHERE list_contains(tags, 'hybrid') AND list_contains(tags, 'licence')")
 def tags_contain_all(spark, d):
-    wanted = F.array(F.lit("remote"), F.lit("hybrid"))
+    wanted = F.array(F.lit("hybrid"), F.lit("licence"))
     return jobs(spark, d).filter(F.size(F.array_except(wanted, F.col("tags"))) == 0).select("id")
 
 
@@ -210,9 +210,17 @@ def json_paths(spark, d):
     return raw(spark, d).select("raw_id", pick("raw", "$.listing").cast("long").alias("listing"), pick("raw", "$.missing", "$.layout").alias("layout"))
 
 
-@query("SELECT raw_id, CASE WHEN contains(lower(url), 'linkedin.') THEN 'linkedin' WHEN contains(lower(url), 'seek.') THEN 'seek' END AS platform FROM raw_jobs")
+_HOST = "regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '^m\\.', '')"
+
+
+def _platforms(spark, d):
+    """(_host, platform) of the sources that are boards people apply on."""
+    return table(spark, d, "source_settings").filter(F.col("source").isin("seek", "linkedin")).select(F.col("host").alias("_host"), F.col("source").alias("platform"))
+
+
+@query(f"SELECT raw_id, s.source AS platform FROM raw_jobs r LEFT JOIN (SELECT * FROM source_settings WHERE source IN ('seek', 'linkedin')) s ON s.host = {_HOST}")
 def url_platform(spark, d):
-    return raw(spark, d).select("raw_id", P.platform(F.col("url")).alias("platform"))
+    return raw(spark, d).select("raw_id", P.url_host(F.col("url")).alias("_host")).join(_platforms(spark, d), "_host", "left").select("raw_id", "platform")
 
 
 @query(r"""SELECT DISTINCT company, CASE WHEN short = '' THEN 'Unknown company' WHEN regexp_matches(lower(short), '^(con|prn|aux|nul|com[1-9]|lpt[1-9])$') THEN short || ' Co' ELSE short END AS folder
@@ -221,11 +229,6 @@ def company_folder(spark, d):
     return raw(spark, d).select("company").distinct().select("company", P.folder_name(F.col("company")).alias("folder"))
 
 
-@query()
-def file_names(spark, d):
-    return jobs(spark, d).select("company", "title").distinct().select("company", "title", P.file_stem("CV", F.col("company"), F.col("title"), "2026").alias("stem"))
-
-
 # ---------------------------------------------------------------- joins and state
 
 _KEYED = f"""k AS (SELECT raw_id AS seq, batch_no, source, sha1(concat(source, ':', source_id)) AS id, {_FP} AS fp, {C('company')} AS ck, {TOKENS('title')} AS tk FROM raw_jobs)"""
@@ -292,6 +295,14 @@ def age_out(spark, d):
     return status.missed_runs(table(spark, d, "run_results"))
 
 
+@query("""WITH t AS (SELECT source, finished_at, row_number() OVER (PARTITION BY source ORDER BY finished_at) AS turn FROM (SELECT DISTINCT source, finished_at FROM run_results)),
+s AS (SELECT source, id, max(finished_at) AS finished_at FROM (SELECT source, finished_at, unnest(seen_ids) AS id FROM run_results) WHERE id IS NOT NULL GROUP BY 1, 2)
+SELECT s.source, count(*) AS closed_now FROM s JOIN t ON s.source = t.source AND s.finished_at = t.finished_at JOIN (SELECT source, max(turn) AS last FROM t GROUP BY 1) l ON l.source = s.source WHERE l.last - t.turn = 3 GROUP BY 1""")
+def closed_crossings(spark, d):
+    """How many jobs the last run of each source closed: those that it was the third in a row to miss."""
+    return status.missed_runs(table(spark, d, "run_results")).filter("missed_runs = 3").groupBy("source").agg(F.count(F.lit(1)).alias("closed_now"))
+
+
 _LAST = "(SELECT * FROM job_snapshots s WHERE delivery_no = (SELECT max(delivery_no) FROM job_snapshots t WHERE t.snapshot_no = s.snapshot_no))"
 
 
@@ -357,10 +368,11 @@ def stats_by_source(spark, d):
 
 
 @query("""SELECT count(*) AS stored, count(*) FILTER (NOT closed) AS open, count(*) FILTER (closed) AS closed, count(*) FILTER (salary IS NOT NULL AND NOT closed) AS with_salary,
+  count(*) FILTER (NOT closed AND epoch_us(TIMESTAMPTZ '2026-11-01 00:00:00+00') - epoch_us(scraped_at) < 86400000000) AS new_day,
   round(100.0 * count(*) FILTER (salary IS NOT NULL AND NOT closed) / nullif(count(*) FILTER (NOT closed), 0), 4) AS pct FROM jobs""")
 def stats_totals(spark, d):
     open_, paid = F.count_if(~F.col("closed")), F.count_if(~F.col("closed") & F.col("salary").isNotNull())
-    return jobs(spark, d).agg(F.count(F.lit(1)).alias("stored"), open_.alias("open"), F.count_if("closed").alias("closed"), paid.alias("with_salary"), F.round(F.lit(100.0) * paid / F.nullif(open_, F.lit(0)), 4).alias("pct"))
+    return jobs(spark, d).agg(F.count(F.lit(1)).alias("stored"), open_.alias("open"), F.count_if("closed").alias("closed"), paid.alias("with_salary"), F.count_if(~F.col("closed") & (P.days_since(F.col("scraped_at"), F.lit(NOW).cast("timestamp")) < 1)).alias("new_day"), F.round(F.lit(100.0) * paid / F.nullif(open_, F.lit(0)), 4).alias("pct"))
 
 
 @query("SELECT company, count(*) AS n FROM jobs WHERE NOT closed GROUP BY 1 ORDER BY n DESC, company LIMIT 10")
@@ -402,13 +414,6 @@ def run_history(spark, d):
     return runs.latest_runs(table(spark, d, "run_results")).select("run_id")
 
 
-@query("SELECT id, coalesce(title, '') AS title, coalesce(company, '') AS company, CASE WHEN closed THEN 'yes' ELSE 'no' END AS closed, array_to_string(tags, ' ') AS tags FROM jobs")
-def csv_projection(spark, d):
-    from tidewell.sources.files import csv_ready
-
-    return csv_ready(jobs(spark, d), {c: F.col(c) for c in ("id", "title", "company", "closed", "tags")})
-
-
 def _snapshots(spark, d, *steps):
     """(key: snapshot_no and id, title, company) of the snapshots that have one before them, and under the same keys
     those so many snapshots earlier."""
@@ -459,10 +464,15 @@ def name_collisions(spark, d):
     return tables.numbered_names(jobs(spark, d), "company", "title", "id").select("id", "file_name")
 
 
-@query("SELECT coalesce(a.platform, 'none') AS platform, count(*) AS n, count(*) FILTER (s.id IS NULL) AS missing FROM (SELECT id, CASE WHEN contains(lower(url), 'linkedin.') THEN 'linkedin' WHEN contains(lower(url), 'seek.') THEN 'seek' END AS platform FROM jobs WHERE NOT closed) a LEFT JOIN (SELECT DISTINCT id FROM job_snapshots WHERE snapshot_no = 10) s ON a.id = s.id GROUP BY 1")
+@query(f"""SELECT coalesce(a.platform, 'none') AS platform, count(*) AS n, count(*) FILTER (s.id IS NULL) AS missing
+FROM (SELECT j.id, p.source AS platform FROM jobs j LEFT JOIN (SELECT * FROM source_settings WHERE source IN ('seek', 'linkedin')) p ON p.host = {_HOST} WHERE NOT closed) a
+LEFT JOIN (SELECT DISTINCT id FROM {_LAST} WHERE snapshot_no = (SELECT max(snapshot_no) FROM job_snapshots)) s ON a.id = s.id GROUP BY 1""")
 def work_queue(spark, d):
-    there = table(spark, d, "job_snapshots").filter("snapshot_no = 10").select("id").distinct().withColumn("there", F.lit(True))
-    waiting = jobs(spark, d).filter("not closed").select("id", P.platform(F.col("url")).alias("platform")).join(there, "id", "left")
+    """Open jobs by the board to apply on, and how many of them the newest snapshot lacks."""
+    last = last_deliveries(spark, d)
+    newest = last.agg(F.max("snapshot_no").alias("snapshot_no"))  # one row
+    there = last.join(F.broadcast(newest), "snapshot_no").select("id").distinct().withColumn("there", F.lit(True))
+    waiting = jobs(spark, d).filter("not closed").select("id", P.url_host(F.col("url")).alias("_host")).join(_platforms(spark, d), "_host", "left").join(there, "id", "left")
     return waiting.groupBy(F.coalesce("platform", F.lit("none")).alias("platform")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("there").isNull()).alias("missing"))
 
 
@@ -485,34 +495,11 @@ def reused_sentences(spark, d):
     return corpus.reused_sentences(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id")
 
 
-@query()
-def similar_sentences(spark, d):
-    found = corpus.similar_sentences(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id")
-    return found.select("doc_id", "item_id", "norm", "corpus_norm", F.round("similarity", 4).alias("similarity"))
-
-
 @query(f"SELECT opener, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, array_to_string(string_split({_NORM.format('text')}, ' ')[1:5], ' ') AS opener, len(string_split({_NORM.format('text')}, ' ')) AS k FROM documents) WHERE k >= 5 GROUP BY 1 HAVING n > 1")
 def shared_openers(spark, d):
     return corpus.shared_openers(table(spark, d, "documents"), "doc_id")
 
 
-@query()
-def numbers_in_texts(spark, d):
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.array_join(X.numbers_in(F.col("text")), ",").alias("numbers"))
-
-
-@query()
-def content_words(spark, d):
-    words = table(spark, d, "documents").select(F.explode(X.content_words(F.col("text"))).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
-
-
-@query()
-def unfounded_numbers(spark, d):
-    facts = table(spark, d, "eval_items").select(F.col("text").alias("fact"))
-    return corpus.unfounded_numbers(table(spark, d, "documents"), facts, "doc_id")
-
-
 @query(f"SELECT w AS lead, count(*) AS n FROM (SELECT split_part({_NORM.format('s')}, ' ', 1) AS w FROM (SELECT unnest({SENT('text')}) AS s FROM documents)) WHERE w <> '' GROUP BY 1 HAVING n > 2")
 def lead_words(spark, d):
     rows = corpus.sentence_rows(table(spark, d, "documents"), "doc_id", "text").select(F.split("norm", " ")[0].alias("lead")).filter("lead <> ''")
@@ -520,11 +507,11 @@ def lead_words(spark, d):
 
 
 @query(r"""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '—|―|\s–\s') THEN 'dash' END, CASE WHEN regexp_matches(text, '\[[^\]\n]{2,}\]') THEN 'placeholder' END,
-  CASE WHEN regexp_matches(text, '(?m)^\s*(?:[-*•▪◦]|\d+[.)])\s+\S') THEN 'list' END, CASE WHEN regexp_matches(text, '(?m)\*\*|^#{1,6}\s') THEN 'markdown' END) AS flags FROM documents WHERE text IS NOT NULL""")
+  CASE WHEN regexp_matches(text, '(?m)^\s*(?:[-*•▪◦]|\d+[.)])\s+\S') THEN 'list' END, CASE WHEN regexp_matches(text, '(?m)\*\*|^#{1,6}\s') THEN 'markdown' END, CASE WHEN regexp_matches(text, '"career_profile"|"cover_letter"|^\s*[{\[]') THEN 'json' END) AS flags FROM documents WHERE text IS NOT NULL""")
 def lint_flags(spark, d):
     t = F.col("text")
     # Marks of generated or pasted text.
-    rules = (("dash", r"—|―|\s–\s"), ("placeholder", r"\[[^\]\n]{2,}\]"), ("list", r"(?m)^\s*(?:[-*•▪◦]|\d+[.)])\s+\S"), ("markdown", r"(?m)\*\*|^#{1,6}\s"))
+    rules = (("dash", r"—|―|\s–\s"), ("placeholder", r"\[[^\]\n]{2,}\]"), ("list", r"(?m)^\s*(?:[-*•▪◦]|\d+[.)])\s+\S"), ("markdown", r"(?m)\*\*|^#{1,6}\s"), ("json", r'"career_profile"|"cover_letter"|^\s*[{\[]'))
     flags = F.concat_ws(",", *(F.when(t.rlike(rx), name) for name, rx in rules))
     return table(spark, d, "documents").filter("text is not null").select("doc_id", flags.alias("flags"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewell.plans import data_queries, job_plans, posting_plans
+from tidewell.plans import board_plans, data_queries, job_plans, posting_plans, wording_plans
 from tidewell.session import shipping
 
-MODULES = (data_queries, posting_plans, job_plans)
+MODULES = (data_queries, posting_plans, job_plans, wording_plans, board_plans)
 
 
 def queries() -> dict:

@@ -17,6 +17,24 @@ def pick(json: Column | str, *paths: str) -> Column:
     return F.coalesce(*(F.nullif(F.trim(F.get_json_object(json, p)), F.lit("")) for p in paths))
 
 
+def _kind(json: Column | str, path: str) -> tuple[Column, Column]:
+    value = F.try_variant_get(F.try_parse_json(json), path, "variant")
+    return value, F.schema_of_variant(value)
+
+
+def as_text(json: Column | str, path: str) -> Column:
+    """Trimmed text at a path; numbers and booleans as text; '' for lists, objects, null, and where nothing is."""
+    value, kind = _kind(json, path)
+    return F.when(F.coalesce(kind, F.lit("VOID")).rlike("^(VOID|ARRAY|OBJECT)"), "").otherwise(F.coalesce(F.trim(F.try_variant_get(value, "$", "string")), F.lit("")))
+
+
+def as_bool(json: Column | str, path: str) -> Column:
+    """A boolean, or a text true, yes or 1 in any case; false for all else."""
+    value, kind = _kind(json, path)
+    said = F.try_variant_get(value, "$", "string")
+    return F.coalesce(F.when(kind == "BOOLEAN", said == "true").when(kind == "STRING", said.rlike("(?i)^(true|yes|1)$")), F.lit(False))
+
+
 def search_url(base: str, parameters: dict[str, Column]) -> Column:
     """base?name=value&..., blank values left out."""
     parts = [F.when(F.coalesce(v.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}="), F.url_encode(v.cast("string")))) for k, v in parameters.items()]
@@ -80,15 +98,20 @@ def criteria(html: Column | str) -> Column:
     return F.map_from_arrays(F.transform(names, lambda x: F.lower(collapse(strip_html(x)))), F.transform(values, lambda x: collapse(strip_html(x))))
 
 
-def detail_fields(pages: DataFrame, marker: str = 'data-automation="jobAdDetails"') -> DataFrame:
+#: What marks the text of an advertisement on a detail page.
+MARKERS = ('data-automation="jobAdDetails"', "show-more-less-html__markup")
+
+
+def detail_fields(pages: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
     """pages: url, source_id, status, html. (url, description, employment_type_raw, posted_at_raw,
     apply_method) of pages that were read; the advertisement's own text first, then JSON-LD, then embedded
-    data. Pages with an error status give nulls: rows keep what their card said."""
+    data; the kind of employment from JSON-LD, else from the list of criteria. Pages with an error status give nulls: rows keep what their card said."""
     good = F.when(F.col("status") == 200, F.col("html"))
     read = pages.select("url", "source_id", good.alias("html")).withColumn("ld", posting_ld_of("html"))
-    body = F.coalesce(marked_div_of("html", F.lit(marker)), F.get_json_object("ld", "$.description"), embedded_description_of("html", "source_id"))
+    body = F.coalesce(*(marked_div_of("html", F.lit(m)) for m in markers), F.get_json_object("ld", "$.description"), embedded_description_of("html", "source_id"))
+    kind = F.try_element_at(criteria("html"), F.lit("employment type"))
     return read.select(
-        "url", strip_html(body).alias("description"), F.get_json_object("ld", "$.employmentType").alias("employment_type_raw"),
+        "url", strip_html(body).alias("description"), F.coalesce(F.get_json_object("ld", "$.employmentType"), F.nullif(kind, F.lit(""))).alias("employment_type_raw"),
         F.get_json_object("ld", "$.datePosted").alias("posted_at_raw"), apply_method(F.col("html")).alias("apply_method"),
     )
 

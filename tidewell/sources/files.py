@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 TRUE = r"(?i)^(true|yes|1|y)$"
 
 
-def read_verdicts(spark: SparkSession, path: str, schema: str, required: dict[str, list[str] | None]) -> tuple[DataFrame, DataFrame]:
-    """(rows, faults) of a JSON array of verdicts. required: column -> allowed values, None for any that is
+def read_verdicts(spark: SparkSession, path: str, schema: str, required: dict[str, list[str] | None], lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, faults) of verdicts, a JSON array, or an object a line. required: column -> allowed values, None for any that is
     not blank. A file with a fault is rejected whole: rows is empty then."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path)
     fault = F.concat_ws("; ", *(
         F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(f"{c} is missing"))
         .when(F.lit(allowed is not None) & ~F.col(c).isin(allowed or [""]), F.concat(F.lit(f"{c} is not allowed: "), F.col(c)))

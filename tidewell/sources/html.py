@@ -40,8 +40,9 @@ def cards(html: str | None, tag: str = "li") -> list[str]:
 
 
 def marked_div(html: str | None, marker: str) -> str | None:
-    """Inside of the div that carries a marker (an attribute or class as it is written)."""
-    at = (html or "").find(marker)
+    """Inside of the div that carries a marker (an attribute or class), its quotes written either way."""
+    found = re.search(re.escape(marker).replace('"', "[\"']"), html or "")
+    at = found.start() if found else -1
     start = html.rfind("<div", 0, at) if at >= 0 else -1
     whole = element_at(html, "div", start) if start >= 0 else None
     return whole[whole.index(">") + 1 : whole.rindex("<")] if whole else None
