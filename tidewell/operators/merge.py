@@ -30,7 +30,7 @@ def _gathered(rows: DataFrame, key: str, unions: tuple[str, ...], maps: tuple[st
 
 def merge_fold(
     rows: DataFrame, key: str, first_text: tuple[str, ...] = (), first_value: tuple[str, ...] = (), longest: tuple[str, ...] = (), latest: tuple[str, ...] = (),
-    known: dict[str, str] | None = None, first_filled: dict[str, str] | None = None, unions: tuple[str, ...] = (), maps: tuple[str, ...] = (),
+    known: dict[str, str] | None = None, unions: tuple[str, ...] = (), first_filled: dict[str, str] | None = None, maps: tuple[str, ...] = (),
 ) -> DataFrame:
     """One record of each key from its sightings in order of `seq`, as a left fold would leave it.
 
