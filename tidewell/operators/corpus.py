@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import content_words, normal_sentence, numbers_in, sentences, trigrams
+from tidewell.session import staged
 
 
 def sentence_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -21,25 +22,30 @@ def reused_sentences(texts: DataFrame, corpus: DataFrame, key: str, corpus_key:
     return mine.join(theirs, "norm").select(key, "norm", "n_sources")
 
 
+def _trigram_sets(sentences: DataFrame) -> DataFrame:
+    """(norm, g, n): distinct sentences with the set of their trigrams' hashes; trigrams are built once a sentence."""
+    return sentences.select("norm").distinct().select("norm", F.transform(trigrams(F.col("norm")), lambda t: F.xxhash64(t)).alias("g")).withColumn("n", F.size("g"))
+
+
 def similar_sentences(texts: DataFrame, corpus: DataFrame, key: str, corpus_key: str, text: str = "text", least: float = 0.5, least_words: int = 10) -> DataFrame:
     """(key, corpus_key, norm, corpus_norm, similarity): sentences of at least so many words whose trigram
     sets are at least so similar. Distinct sentences meet through a prefix of the corpus sentence: a set with
-    Jaccard >= least to it holds one of any n - ceil(least * n) + 1 of its n trigrams."""
+    Jaccard >= least to it holds one of any n - ceil(least * n) + 1 of its n trigrams, the rarest in the corpus
+    here, and is neither smaller than least times its size nor larger than its size over least. Trigrams go by
+    64-bit hashes."""
     long = lambda rows: rows.filter(F.size(F.split("norm", " ")) >= least_words)
-    mine, theirs = long(sentence_rows(texts, key, text)), long(sentence_rows(corpus, corpus_key, text))
-    a = mine.select("norm").distinct().withColumn("g", trigrams(F.col("norm")))
-    b = theirs.select("norm").distinct().withColumn("g", trigrams(F.col("norm")))
-    # The first n - ceil(least * n) + 1 trigrams of a corpus sentence, rarest in the corpus first.
+    mine, theirs = (staged(long(sentence_rows(rows, k, text)).select(k, "norm").distinct(), "sentences") for rows, k in ((texts, key), (corpus, corpus_key)))
+    a, b = staged(_trigram_sets(mine), "trigrams"), staged(_trigram_sets(theirs), "trigrams")
     counts = b.select(F.explode("g").alias("t")).groupBy("t").count()
-    ranked = b.select("norm", F.size("g").alias("n"), F.explode("g").alias("t")).join(counts, "t").groupBy("norm", "n").agg(F.array_sort(F.collect_list(F.struct("count", "t"))).alias("ts"))
-    prefix = ranked.select(F.col("norm").alias("corpus_norm"), F.explode(F.slice(F.col("ts.t"), 1, (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))).alias("t"))
-    met = a.select("norm", F.explode("g").alias("t")).join(prefix, "t").select("norm", "corpus_norm").distinct()
-    sets = met.withColumn("x", trigrams(F.col("norm"))).withColumn("y", trigrams(F.col("corpus_norm")))
-    both = F.size(F.array_intersect("x", "y"))
-    scored = sets.withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("x") + F.size("y") - F.col("both"))).filter(F.col("similarity") >= least).select("norm", "corpus_norm", "similarity")
+    ranked = b.select("norm", "n", F.explode("g").alias("t")).join(counts, "t").groupBy("norm", "n").agg(F.array_sort(F.collect_list(F.struct("count", "t"))).alias("ts"))
+    prefix = ranked.select(F.col("norm").alias("corpus_norm"), F.col("n").alias("m"), F.explode(F.slice(F.col("ts.t"), 1, (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))).alias("t"))
+    sized = (F.col("n") >= F.col("m") * least) & (F.col("m") >= F.col("n") * least)
+    met = a.select("norm", "n", F.explode("g").alias("t")).join(prefix, "t").filter(sized).select("norm", "corpus_norm").distinct()
+    sets = met.join(a.select("norm", F.col("g").alias("x")), "norm").join(b.select(F.col("norm").alias("corpus_norm"), F.col("g").alias("y")), "corpus_norm")
+    both = sets.select("norm", "corpus_norm", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("both"))
+    scored = both.withColumn("similarity", F.col("both") / (F.col("x") + F.col("y") - F.col("both"))).filter(F.col("similarity") >= least).select("norm", "corpus_norm", "similarity")
     return (
-        mine.select(key, "norm").distinct().join(scored, "norm")
-        .join(theirs.select(corpus_key, F.col("norm").alias("corpus_norm")).distinct(), "corpus_norm").select(key, corpus_key, "norm", "corpus_norm", "similarity")
+        mine.join(scored, "norm").join(theirs.select(corpus_key, F.col("norm").alias("corpus_norm")), "corpus_norm").select(key, corpus_key, "norm", "corpus_norm", "similarity")
     )
 
 

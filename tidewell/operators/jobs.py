@@ -9,6 +9,7 @@ from tidewell.functions import postings as P
 from tidewell.functions.text import collapse, strip_html
 from tidewell.operators import merge, resolve
 from tidewell.operators.time_forms import normalise_times
+from tidewell.session import staged
 
 LOCATION = ("raw", "city", "state", "country", "remote")
 
@@ -42,6 +43,7 @@ def merged_jobs(jobs: DataFrame, key: str, order: str = "raw_id") -> DataFrame:
     """One job of each key from its sightings in order: what was there first stays, what is richer wins, the apply
     method is the freshest, and tags, sources, queries and raw records are united. The status stays that of the
     first sighting, whatever comes later; missed runs start again and the job is open."""
+    jobs = staged(jobs, "sightings")  # read once for the fold, for lists and maps, and for what the first one keeps
     folded = merge.merge_fold(
         jobs.withColumn("seq", F.col(order)), key, first_text=("title", "company", "url"), first_value=("teaser", "salary", "posted_at", "category"), longest=("description",),
         latest=("apply_method", "last_seen_at"), known={"employment_type": "unknown"}, first_filled={"location": "city"}, unions=("tags", "seen_on", "matched_queries"), maps=("raw",),
@@ -66,7 +68,7 @@ def upsert_batch(stored: DataFrame, batch: DataFrame, order: str = "raw_id") ->
     id), every id that rows were merged under, the leaders' own included. The same batch taken in twice changes
     n_seen only.
     """
-    both = stored.unionByName(batch)
+    both = staged(stored.unionByName(batch), "postings")
     told = taken_in(both, order)
     led = both.join(told.select(F.col("seq").alias(order), "leader"), order)
     state = merged_jobs(led, "leader", order)

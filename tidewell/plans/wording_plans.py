@@ -86,9 +86,10 @@ _FORMS = f"[CASE w {_ODD} END, w, regexp_replace(w, '(ies|ied)$', 'y'), regexp_r
 v AS (SELECT doc_id, n, list_filter({_FORMS}, lambda c: list_contains([{', '.join(f"'{v}'" for v in W.VERBS)}], c))[1] AS verb FROM t)
 SELECT doc_id, verb, CAST(sum(n) AS bigint) AS n FROM v WHERE verb IS NOT NULL GROUP BY 1, 2 HAVING sum(n) > 2""")
 def verb_counts(spark, d):
-    """Verbs that a document uses more than twice, in whatever form; a form is looked at once a document."""
-    tokens = documents(spark, d).select("doc_id", F.explode(W.verb_tokens(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
-    return tokens.select("doc_id", "n", W.verb_of(F.col("w")).alias("verb")).filter("verb is not null").groupBy("doc_id", "verb").agg(F.sum("n").alias("n")).filter("n > 2")
+    """Verbs that a document uses more than twice, in whatever form; each form is looked at once, not once a document."""
+    tokens = documents(spark, d).select("doc_id", F.explode(W.verb_tokens(F.col("text"))).alias("w"))
+    forms = tokens.select("w").distinct().select("w", W.verb_of(F.col("w")).alias("verb")).filter("verb is not null")
+    return tokens.join(forms, "w").groupBy("doc_id", "verb").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
 
 
 # ---------------------------------------------------------------- numbers and words of texts
