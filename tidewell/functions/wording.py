@@ -68,9 +68,8 @@ def verb_of(token: Column) -> Column:
     endings may stand for that is a verb; null for other words."""
     odd = F.create_map(*(F.lit(x) for pair in IRREGULAR.items() for x in pair))
     cut = lambda pattern, to="": F.regexp_replace(token, pattern, to)
-    forms = F.array(F.try_element_at(odd, token), token, cut("(?:ies|ied)$", "y"), cut("(?:ing|ed|es|s)$"), cut("[ds]$"), cut(r"(.)\1(?:ing|ed)$", "$1"), cut("ing$", "e"))
-    known = F.array(*(F.lit(v) for v in VERBS))
-    return F.get(F.filter(forms, lambda c: F.array_contains(known, c)), F.lit(0))
+    forms = (F.try_element_at(odd, token), token, cut("(?:ies|ied)$", "y"), cut("(?:ing|ed|es|s)$"), cut("[ds]$"), cut(r"(.)\1(?:ing|ed)$", "$1"), cut("ing$", "e"))
+    return F.coalesce(*(F.when(f.isin(*VERBS), f) for f in forms))
 
 
 def verb_tokens(text: Column) -> Column:
