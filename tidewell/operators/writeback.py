@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.postings import company_key, folder_name
@@ -64,3 +64,32 @@ def planned(searches: DataFrame, sources: DataFrame, max_pages: int) -> DataFram
     each = searches.filter("enabled").select("search_query", "search_location", "max_pages", F.explode("sources").alias("source"))
     on = sources.filter("enabled").select("source")
     return each.join(on, "source", "left_semi").select("search_query", "search_location", "source", F.coalesce("max_pages", F.lit(max_pages).cast("long")).alias("max_pages"))
+
+
+def cached(asked: DataFrame, cache: DataFrame, now: Column, minutes: float) -> DataFrame:
+    """(url, key, body) of asked urls: body from the cache where the page was fetched within so many minutes (the latest
+    such fetch), null where it is to be fetched. cache: key (sha1 of a url), body, fetched_at."""
+    age = (F.unix_micros(now) - F.unix_micros("fetched_at")) / F.lit(60_000_000.0)
+    held = cache.filter((age >= 0) & (age <= minutes)).groupBy("key").agg(F.max_by("body", F.struct("fetched_at", "body")).alias("body"))
+    return asked.select("url").distinct().withColumn("key", F.sha1("url")).join(held, "key", "left").select("url", "key", "body")
+
+
+def until_blocked(rows: DataFrame, source: str, order: list[str], blocked: Column) -> DataFrame:
+    """Rows of each source up to its first blocked one, that one included; other sources go on. Ties are broken by the
+    further columns of `order`, which must make rows distinct."""
+    before = Window.partitionBy(source).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_stopped", F.coalesce(F.max(blocked.cast("int")).over(before), F.lit(0))).filter("_stopped = 0").drop("_stopped")
+
+
+def budgeted(rows: DataFrame, source: str, order: list[str], budget: int) -> tuple[DataFrame, DataFrame]:
+    """(rows to work on now, the first `budget` of each source by `order`; how many are left of each source). What is left
+    comes up again in the next run, for it is still due."""
+    ranked = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
+    left = rows.groupBy(source).agg(F.greatest(F.count(F.lit(1)) - budget, F.lit(0)).alias("remaining"))
+    return ranked.filter(F.col("_nth") <= budget).drop("_nth"), left
+
+
+def audit(judged: DataFrame, key: str, value: str, run: str) -> DataFrame:
+    """(run, line): a JSON line for each verdict of a run, taken or refused with its reason, to be appended to a log."""
+    line = F.to_json(F.struct(F.col(key), F.col(value), F.when(F.col("reason").isNull(), "taken").otherwise("refused").alias("outcome"), "reason"))
+    return judged.select(F.lit(run).alias("run"), line.alias("line"))

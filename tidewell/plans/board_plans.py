@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import postings as P
 from tidewell.operators import writeback
 from tidewell.operators.merge import upsert as fold_batch
+from tidewell.plans import posting_plans as plans
 from tidewell.plans.posting_plans import NOW, jobs, raw
 from tidewell.session import scratch_path, table
 from tidewell.sources import boards, files
@@ -175,3 +176,49 @@ def stream_sightings(spark, d):
     query = first_sightings(stream, "id", "scraped_at", "3650 days").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("id string").parquet(f"{path}/out")
+
+
+# ---------------------------------------------------------------- checks and logs
+
+
+@query(f"""WITH c AS (SELECT sha1(url) AS key, arg_max(id, {{'t': last_seen_at, 'i': id}}) AS body FROM jobs WHERE url IS NOT NULL AND epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(last_seen_at) BETWEEN 0 AND 60 * 86400000000 GROUP BY 1)
+SELECT a.url, sha1(a.url) AS key, c.body FROM (SELECT DISTINCT url FROM raw_jobs WHERE url IS NOT NULL) a LEFT JOIN c ON c.key = sha1(a.url)""")
+def cache_hits(spark, d):
+    """Urls asked for, with what a cache of sixty days holds of them (here the id of the job it stands for)."""
+    cache = jobs(spark, d).filter("url is not null").select(F.sha1("url").alias("key"), F.col("id").alias("body"), F.col("last_seen_at").alias("fetched_at"))
+    return writeback.cached(raw(spark, d).filter("url is not null"), cache, F.lit(NOW).cast("timestamp"), 60 * 1440)
+
+
+@query("""SELECT run_id, source FROM (SELECT *, coalesce(max(CAST(NOT ok AS int)) OVER (PARTITION BY source ORDER BY started_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM run_results) WHERE stopped = 0""")
+def source_isolation(spark, d):
+    """Runs of each source up to its first failed one; a source that is blocked stops alone."""
+    return writeback.until_blocked(table(spark, d, "run_results"), "source", ["started_at", "run_id"], ~F.col("ok")).select("run_id", "source")
+
+
+_DUE = f"(SELECT * FROM jobs WHERE NOT closed AND expired_at IS NULL AND epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(last_seen_at) >= 720 * 3600000000)"
+
+
+def _due(spark, d):
+    return writeback.due(jobs(spark, d), "last_seen_at", F.lit(NOW).cast("timestamp"), 720, ~F.col("closed") & F.col("expired_at").isNull())
+
+
+@query(f"SELECT id FROM {_DUE} QUALIFY row_number() OVER (PARTITION BY source ORDER BY last_seen_at, id) <= 10")
+def budgeted_checks(spark, d):
+    """The ten listings of each source that have waited longest for a check."""
+    return writeback.budgeted(_due(spark, d), "source", ["last_seen_at", "id"], 10)[0].select("id")
+
+
+@query(f"SELECT source, greatest(count(*) - 10, 0) AS remaining FROM {_DUE} GROUP BY 1")
+def remaining_checks(spark, d):
+    return writeback.budgeted(_due(spark, d), "source", ["last_seen_at", "id"], 10)[1]
+
+
+@query(f"""WITH {plans._VERDICTS} SELECT 'r1' AS run, job_id AS id, to_status, CASE WHEN reason IS NULL THEN 'taken' ELSE 'refused' END AS outcome, reason FROM j""")
+def audit_log(spark, d):
+    """The verdicts of a run appended to a log of JSON lines, and read back."""
+    path = scratch_path(spark, "audit")
+    lines = writeback.audit(plans._judged(spark, d), "id", "to_status", "r1")
+    for half in (F.col("line") < '{"id":"8', F.col("line") >= '{"id":"8'):
+        lines.filter(half).write.mode("append").partitionBy("run").text(path)
+    read = spark.read.option("basePath", path).text(path).select("run", F.from_json("value", "id string, to_status string, outcome string, reason string").alias("v"))
+    return read.select("run", "v.*")
