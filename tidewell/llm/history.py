@@ -226,16 +226,20 @@ class History:
             return self.spark.createDataFrame([], "id long, root long")
         filters = self._grow(3 * n, version)  # a posting's own print and at most two of its content
 
-        # Postings that were there before.
+        # Postings that were there before. With nothing in the store none was, and their prints go in with the contents'.
         zero, yes, no = F.lit(0).cast("long"), F.lit(True), F.lit(False)
         keys = firsts.select("id", "source", "key", key_print().alias("fp"))
-        maybe, filters = self._screened(keys.select(self._part(), "fp", zero.alias("slot"), yes.alias("held"), yes.alias("asked"), no.alias("shared")).distinct(), filters)
-        parts = [r.part for r in maybe.select("part").distinct().collect()]  # at most one number a partition
-        had = self._stored(parts).filter("title is null").select("fp", "source", "key", "root")
-        k, h = keys.join(maybe.select("fp"), "fp", "left_semi").alias("k"), had.alias("h")
-        same = (F.col("k.fp") == F.col("h.fp")) & F.col("k.source").eqNullSafe(F.col("h.source")) & F.col("k.key").eqNullSafe(F.col("h.key"))
-        known = staged(k.join(h, same).groupBy("k.id").agg(F.min("h.root").alias("root")).select("id", "root"), "known-postings")
-        fresh = staged(firsts.join(known, "id", "left_anti"), "fresh-postings")
+        held_keys = keys.select(self._part(), "fp", zero.alias("slot"), yes.alias("held"), yes.alias("asked"), no.alias("shared")).distinct()
+        if self.state["prints"]:
+            maybe, filters = self._screened(held_keys, filters)
+            parts = [r.part for r in maybe.select("part").distinct().collect()]  # at most one number a partition
+            had = self._stored(parts).filter("title is null").select("fp", "source", "key", "root")
+            k, h = keys.join(maybe.select("fp"), "fp", "left_semi").alias("k"), had.alias("h")
+            same = (F.col("k.fp") == F.col("h.fp")) & F.col("k.source").eqNullSafe(F.col("h.source")) & F.col("k.key").eqNullSafe(F.col("h.key"))
+            known = staged(k.join(h, same).groupBy("k.id").agg(F.min("h.root").alias("root")).select("id", "root"), "known-postings")
+            fresh = staged(firsts.join(known, "id", "left_anti"), "fresh-postings")
+        else:
+            known, fresh = self.spark.createDataFrame([], "id long, root long"), firsts
 
         # Contents of the others, their spelling mended by what is known by now.
         values = staged(spellings_of(fresh), "spellings")
@@ -251,7 +255,7 @@ class History:
         held, asked = F.count("has") > 0, F.count("asks") > 0
         alone = (F.min("has") == F.max("asks")) & (F.max("has") == F.min("asks"))
         batch = both.groupBy("fp", "slot").agg(held.alias("held"), asked.alias("asked"), (held & asked & ~F.coalesce(alone, no)).alias("shared")).select(self._part(), "fp", "slot", "held", "asked", "shared")
-        maybe, filters = self._screened(batch, filters)
+        maybe, filters = self._screened(batch if self.state["prints"] else batch.unionByName(held_keys.withColumn("asked", no)), filters)
         parts = [r.part for r in maybe.select("part").distinct().collect()]
         spread = wanted.join(maybe.select("fp", "slot"), ["fp", "slot"]).select(F.col("id").alias("b"), "fp", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
         own = entries.join(new.select("id", "fp"), "id")
@@ -285,7 +289,9 @@ class History:
         state = self.state | {"version": version, "size": self.state["size"] + 3 * n, "prints": [*self.state["prints"], version], "texts": [*self.state["texts"], version]}
         self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").text(f"{self.path}/state/v={version}")
         self.state = state
-        discard(fresh, values, words, fields, entries, texts, near, wanted)
+        if fresh is not firsts:
+            discard(fresh)
+        discard(values, words, fields, entries, texts, near, wanted)
         lowest = firsts.join(told, "id").select(F.col("source").alias("_s"), F.col("key").alias("_k"), "root")
         same_posting = rows["source"].eqNullSafe(lowest["_s"]) & rows["key"].eqNullSafe(lowest["_k"])
         return staged(rows.join(lowest, same_posting).filter("id > root").select("id", "root").distinct(), "repeats")
