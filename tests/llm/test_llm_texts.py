@@ -200,6 +200,48 @@ def test_weights_are_fitted():
         assert like(w) >= like(other) - 1e-6
 
 
+def test_edges_are_those_of_the_isotonic_fit(spark):
+    """Scores that occur often, runs that fall, levels that never come: as pooling all scores in one place does."""
+    rng = np.random.RandomState(6)
+    for n, spread, levels in ((400, 30, (1, 2, 3)), (300, 3000, (1, 2, 3)), (50, 10, (1, 2)), (50, 10, (3, 3)), (50, 10, (1, 1)), (1, 5, (2, 2)), (0, 5, (1, 2))):
+        x = rng.randint(-spread, spread, n) / 8
+        y = np.clip(np.round(2 + x / spread * 8 + rng.randn(n)), levels[0], levels[-1]).astype(int)
+        values, of = np.unique(x, return_inverse=True)
+        want = []
+        at, fit = R.isotonic(np.array(x), np.bincount(of, y, len(values))[of] / np.bincount(of, minlength=len(values))[of] if n else y)
+        for step in (1, 2):
+            above = np.flatnonzero(fit >= step + 0.5 - 1e-9)
+            want.append(np.inf if not len(above) else -np.inf if above[0] == 0 else (at[above[0] - 1] + at[above[0]]) / 2)
+        rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "score double, level int").repartition(3)
+        assert R.fit_edges(rows) == want
+
+
+def test_projection_of_moments_is_ridge_regression():
+    rng = np.random.RandomState(8)
+    x = rng.randn(200, 33) * rng.rand(33) + 5
+    x[:, 4] = 2.7
+    y = rng.randint(1, 4, 200)
+    rows = np.column_stack([x, y])
+    model = R.Levels(np.ones((3, 3, 8)))
+    model.fit_projection(sum((R.Moments.of(r) for r in np.split(rows, [1, 50, 130])), R.Moments()))
+    x = np.delete(x, 4, axis=1)
+    z = (x - x.mean(0)) / x.std(0)
+    assert model.slope[4] == 0 and np.allclose(np.delete(model.slope, 4) * x.std(0), np.linalg.solve(z.T @ z + R.RIDGE * np.eye(32), z.T @ (y - y.mean())))
+
+
+def test_every_labelled_document_counts(spark):
+    """More than the 6000 documents that were once the most: words, weights and mapping come from all of them."""
+    docs = spark.range(7000).selectExpr("id AS doc_id", "concat('word', id % 3 + 1) AS text", "'en' AS lang")
+    letters = docs.selectExpr("doc_id", "translate(text, '123', 'abc') AS text", "lang")
+    labels = docs.selectExpr("doc_id", "'r' AS rater", "cast(doc_id % 3 + 1 AS int) AS reading_level")
+    labelled = R.labelled_documents(letters, labels)
+    parts = {r["part"]: r["count"] for r in labelled.groupBy("part").count().collect()}
+    assert sum(parts.values()) == 7000 and min(parts.values()) > 1000
+    model = R.fit_levels(labelled)
+    assert model.counts[:, 0].sum() == 3 * parts[R.TRAIN]  # one word between two ends each
+    assert [model.level(s) for s in model.scores(model.features(["worda", "wordb", "wordc"]))] == [1, 2, 3]
+
+
 def test_reading_levels_on_held_out_rows(spark, small):
     root = small.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/reading_labels.parquet")

@@ -1,7 +1,7 @@
 """Reading level of documents: distributions of surprisal under n-gram models, mapped by isotonic regression.
 
-One interpolated trigram model a level is trained on labelled documents; the weights of its orders are fitted by
-EM on other ones. Each sentence of a document has a surprisal a word under every model. The quantiles of these,
+One interpolated trigram model a level is trained on half of all labelled documents; the weights of its orders are
+fitted by EM on other ones. Each sentence of a document has a surprisal a word under every model. The quantiles of these,
 and of their differences, over all words of the whole document are its distribution; a linear projection makes one
 score of them, which a monotone step function, fitted on still other labelled documents, maps to the rated level.
 """
@@ -20,16 +20,17 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.leaks import words_of
 from tidewell.llm.tokens import _strings
-from tidewell.session import staged
+from tidewell.session import discard, staged
 
 LEVELS = (1, 2, 3)
-#: At most so many labelled documents are used, those with the lowest hash of their id; half of them train the
-#: models, a sixth fits weights and projection, a third the mapping.
-LABELLED = 6000
+#: Every labelled document is used, by a hash of its id: half of them train the models, a sixth fits weights and
+#: projection, a third the mapping.
 TRAIN, WEIGH, MAP = 0, 1, 2
 #: Cells of the count table of one order and level. n-grams share cells by hash, so the models have one
 #: size however large the corpus is.
 CELLS = 1 << 17
+#: Cells that are summed up together.
+BLOCK = 1 << 13
 #: Weights of trigrams, bigrams, words and the uniform model before they are fitted.
 MIX = (0.55, 0.3, 0.145, 0.005)
 #: Quantiles that stand for a distribution of surprisal, and the ridge of the projection.
@@ -106,6 +107,26 @@ def word_quantiles(values: np.ndarray, words: np.ndarray, of: np.ndarray, texts:
     return values[order][np.minimum(spots, last[:, None])]
 
 
+@dataclass
+class Moments:
+    """Number of rows, their means and the sums of products of what they differ from these by."""
+
+    n: int = 0
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(34))
+    spread: np.ndarray = field(default_factory=lambda: np.zeros((34, 34)))
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Moments:
+        mean = rows.mean(0)
+        return cls(len(rows), mean, (rows - mean).T @ (rows - mean))
+
+    def __add__(self, other: Moments) -> Moments:
+        if not self.n or not other.n:
+            return other if not self.n else self
+        n, apart = self.n + other.n, other.mean - self.mean
+        return Moments(n, self.mean + apart * other.n / n, self.spread + other.spread + np.outer(apart, apart) * self.n * other.n / n)
+
+
 @dataclass
 class Levels:
     """Counts of each level's models, orders 1 to 3, the weights of their orders, the projection of surprisal
@@ -169,12 +190,12 @@ class Levels:
     def scores(self, features: np.ndarray) -> np.ndarray:
         return features[:, 2] if self.slope is None else (features - self.center) @ self.slope
 
-    def fit_projection(self, features: np.ndarray, levels: np.ndarray) -> None:
-        """Ridge regression of the rated level on standardised features."""
-        if len(set(levels.tolist())) > 1:
-            self.center, scale = features.mean(0), features.std(0) + 1e-9
-            z = (features - self.center) / scale
-            self.slope = np.linalg.solve(z.T @ z + RIDGE * np.eye(z.shape[1]), z.T @ (levels - levels.mean())) / scale
+    def fit_projection(self, moments: Moments) -> None:
+        """Ridge regression of the rated level on standardised features; moments: those of features and level."""
+        if moments.n and moments.spread[-1, -1] > 0:
+            self.center, scale = moments.mean[:-1], np.sqrt(np.diag(moments.spread)[:-1] / moments.n)
+            scale = np.where(scale > 1e-9 * (1 + np.abs(self.center)), scale, np.inf)  # what is always the same tells nothing
+            self.slope = np.linalg.solve(moments.spread[:-1, :-1] / np.outer(scale, scale) + RIDGE * np.eye(len(scale)), moments.spread[:-1, -1] / scale) / scale
 
     def level(self, score: float) -> int:
         return LEVELS[0] + sum(score >= e for e in self.edges)
@@ -205,46 +226,77 @@ def isotonic(scores: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.nda
     return scores[order], fitted
 
 
-def fit_edges(scores: np.ndarray, levels: np.ndarray) -> list[float]:
-    """Scores from which the isotonic fit is nearer to the next level; midway between the labelled scores."""
-    x, y = isotonic(scores, levels)
+def fit_edges(scored: DataFrame) -> list[float]:
+    """scored: score, level. Scores from which the isotonic fit is nearer to the next level; midway between the labelled
+    scores. The fit is at least c from the first place on at which the sum of (level - c) over all lower scores is least,
+    so running sums over ranges of scores tell it; each range sends one row."""
+    steps = np.array([2 * step + 1 for step in LEVELS[:-1]])
+
+    def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, first, last = np.zeros(len(steps), np.int64), None, None
+        least: list[tuple[int, float, float | None]] = [(0, 0.0, None)] * len(steps)  # sum before, score, score below
+        for batch in batches:
+            if not len(batch):
+                continue
+            score = batch["score"].to_numpy()
+            gain = batch["twice"].to_numpy(np.int64)[:, None] - steps * batch["n"].to_numpy(np.int64)[:, None]
+            before = total + np.cumsum(gain, axis=0) - gain
+            below = [last, *score[:-1].tolist()]
+            for k, i in enumerate(before.argmin(0)):
+                if first is None or before[i, k] < least[k][0]:
+                    least[k] = (int(before[i, k]), float(score[i]), below[i])
+            total = total + gain.sum(0)
+            first, last = score[0] if first is None else first, float(score[-1])
+        if first is not None:
+            yield pd.DataFrame({"first": [first], "last": [last], "total": [total.tolist()], **{k: [[x[i] for x in least]] for i, k in enumerate(("least", "at", "below"))}})
+
+    ranges = (
+        scored.groupBy("score").agg(F.sum(2 * F.col("level")).alias("twice"), F.count(F.lit(1)).alias("n")).repartitionByRange("score").sortWithinPartitions("score")
+        .mapInPandas(lowest, "first double, last double, total array<long>, least array<long>, at array<double>, below array<double>").collect()
+    )
     edges = []
-    for step in LEVELS[:-1]:
-        above = np.flatnonzero(y >= step + 0.5)
-        edges.append(float("inf") if not len(above) else -float("inf") if above[0] == 0 else float(x[above[0] - 1] + x[above[0]]) / 2)
+    for k in range(len(steps)):
+        edge, least, so_far, last = -float("inf"), 0, 0, None
+        for r in sorted(ranges, key=lambda r: r["first"]):
+            if so_far + r["least"][k] < least:
+                below = last if r["below"][k] is None else r["below"][k]
+                edge, least = (below + r["at"][k]) / 2, so_far + r["least"][k]
+            so_far, last = so_far + r["total"][k], r["last"]
+        edges.append(float("inf") if so_far < least or last is None else edge)
     return edges
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """(doc_id, text, level, part) of at most `most` labelled documents. A document's level is the median
-    of its ratings, the lower one of two. Null ratings and texts are left out."""
+def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, level, part) of every labelled document. A document's level is the median of its ratings, the lower one
+    of two. Null ratings and texts are left out."""
     votes = labels.filter(F.col("reading_level").isin(*LEVELS)).groupBy("doc_id").agg(F.sort_array(F.collect_list("reading_level")).alias("v"))
-    level = F.element_at("v", F.floor((F.size("v") + 1) / 2).cast("int"))
-    few = votes.select("doc_id", level.alias("level")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rated = votes.select("doc_id", F.element_at("v", F.floor((F.size("v") + 1) / 2).cast("int")).alias("level"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(6))
-    # At most `most` rows of 12 bytes.
-    labelled = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(few), "doc_id")
-    return labelled.withColumn("part", F.when(part < 3, TRAIN).when(part == 3, WEIGH).otherwise(MAP))
+    labelled = documents.select("doc_id", "text").filter("text is not null").join(rated.hint("shuffle_hash"), "doc_id")
+    return labelled.select("text", "level", F.when(part < 3, TRAIN).when(part == 3, WEIGH).otherwise(MAP).alias("part"))
 
 
-def fit_levels(sample: DataFrame) -> Levels:
+def fit_levels(labelled: DataFrame) -> Levels:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((len(LEVELS), 3, CELLS), np.float32)
+        sums = np.zeros((len(LEVELS), 3, CELLS), np.int64)
         for batch in batches:
             for text, level in zip(batch["text"], batch["level"]):
                 for order, cells in enumerate(cells_of(tokens_of(text))):
-                    np.add.at(sums[int(level) - 1, order], cells, 1.0)
-        level, order, cell = np.nonzero(sums)
-        yield pd.DataFrame({"level": level, "ord": order, "cell": cell, "n": sums[level, order, cell].astype(np.float64)})
+                    np.add.at(sums[int(level) - 1, order], cells, 1)
+        blocks = sums.reshape(-1, BLOCK)
+        at = np.flatnonzero(blocks.any(axis=1))
+        yield pd.DataFrame({"block": at, "n": [blocks[i].tobytes() for i in at]})
 
-    summed = (
-        sample.filter(F.col("part") == TRAIN).select("text", "level").mapInPandas(count, "level int, ord int, cell int, n double")
-        .groupBy("level", "ord", "cell").agg(F.sum("n").alias("n")).toPandas()
-    )
+    def add(blocks: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": blocks["block"].iloc[:1], "n": [sum(np.frombuffer(n, np.int64) for n in blocks["n"]).tobytes()]})
+
+    kind = "block int, n binary"
+    summed = labelled.filter(F.col("part") == TRAIN).select("text", "level").mapInPandas(count, kind).groupBy("block").applyInPandas(add, kind)
     counts = np.zeros((len(LEVELS), 3, CELLS), np.float32)
-    counts[summed["level"], summed["ord"], summed["cell"]] = summed["n"]
+    for row in summed.collect():  # as many rows as the table has blocks
+        counts.reshape(-1, BLOCK)[row.block] = np.frombuffer(row.n, np.int64)
     model = Levels(counts)
-    sent = sample.sparkSession.sparkContext.broadcast(model)
+    sent = labelled.sparkSession.sparkContext.broadcast(model)
 
     # Tokens that no model was trained on, counted by their probabilities in quarter steps of a power of two: the grid
     # has a bounded number of cells, however long the texts.
@@ -255,31 +307,40 @@ def fit_levels(sample: DataFrame) -> Levels:
                 steps, n = np.unique(np.where(p > 0, np.maximum(np.round(4 * np.log2(np.maximum(p, 1e-9))), -80), -99).astype(int), axis=1, return_counts=True)
                 yield pd.DataFrame({"level": int(level), "tri": steps[0], "bi": steps[1], "one": steps[2], "n": n})
 
-    cells = sample.filter(F.col("part") == WEIGH).select("text", "level").mapInPandas(grid, "level int, tri int, bi int, one int, n long").groupBy("level", "tri", "bi", "one").agg(F.sum("n").alias("n")).toPandas()
+    cells = labelled.filter(F.col("part") == WEIGH).select("text", "level").mapInPandas(grid, "level int, tri int, bi int, one int, n long").groupBy("level", "tri", "bi", "one").agg(F.sum("n").alias("n")).toPandas()
     for level, group in cells.groupby("level"):
         steps = group[["tri", "bi", "one"]].to_numpy()
         probabilities = np.column_stack([np.where(steps > -99, 2.0 ** (steps / 4), 0.0), np.full(len(group), 1 / CELLS)])
         model.weights[:, int(level) - 1] = fit_weights(probabilities, group["n"].to_numpy(float))
     weights = model.weights
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fitted = replace(sent.value, weights=weights)
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fitted, m = replace(sent.value, weights=weights), Moments()
+        for batch in batches:
+            if len(batch):
+                m = m + Moments.of(np.column_stack([fitted.features(list(batch["text"])), batch["level"]]))
+        if m.n:
+            yield pd.DataFrame({"n": [m.n], "mean": [m.mean.tobytes()], "spread": [m.spread.tobytes()]})
+
+    of_tasks = labelled.filter(F.col("part") == WEIGH).select("text", "level").mapInPandas(moments, "n long, mean binary, spread binary").collect()
+    model.fit_projection(sum((Moments(r["n"], np.frombuffer(r["mean"]), np.frombuffer(r["spread"]).reshape(34, 34)) for r in of_tasks), Moments()))
+    center, slope = model.center, model.slope
+
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fitted = replace(sent.value, weights=weights, center=center, slope=slope)
         for batch in batches:
-            yield pd.DataFrame({"part": batch["part"], "level": batch["level"], "f": list(fitted.features(list(batch["text"])))})
+            yield pd.DataFrame({"score": fitted.scores(fitted.features(list(batch["text"]))), "level": batch["level"].to_numpy()})
 
-    held = sample.filter(F.col("part") != TRAIN).select("text", "part", "level").mapInPandas(features, "part int, level int, f array<double>").toPandas()
-    stacked = lambda part: (np.array(held.loc[held["part"] == part, "f"].tolist()).reshape(-1, 33), held.loc[held["part"] == part, "level"].to_numpy())
-    model.fit_projection(*stacked(WEIGH))
-    told, levels = stacked(MAP)
-    model.edges = fit_edges(model.scores(told), levels)
+    model.edges = fit_edges(staged(labelled.filter(F.col("part") == MAP).select("text", "level").mapInPandas(scores, "score double, level int"), "scores"))
     return model
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, least_words: int = 40, most_labelled: int = LABELLED) -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame, least_words: int = 40) -> DataFrame:
     """(doc_id, reading_level int, score double) of each row whose lang is English and whose text has at
     least least_words words. Null texts and languages give no row; without labels every level is 1."""
-    sample = staged(labelled_sample(documents.filter(english(F.col("lang"))), labels, most_labelled), "labelled")
-    model = documents.sparkSession.sparkContext.broadcast(fit_levels(sample))
+    labelled = staged(labelled_documents(documents.filter(english(F.col("lang"))), labels), "labelled")
+    model = documents.sparkSession.sparkContext.broadcast(fit_levels(labelled))
+    discard(labelled)
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
