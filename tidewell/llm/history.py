@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.matching import DAY
 from tidewell.llm.vacancies import same_place, spellings_of, vacancy_fields, word_counts
 from tidewell.operators.connect import lowest_linked
-from tidewell.session import discard, staged
+from tidewell.session import discard, relieve, staged
 
 #: Single-letter edits that titles, companies and unlisted places of one vacancy may be apart.
 EDITS = 2
@@ -245,10 +245,12 @@ class History:
         values = staged(spellings_of(fresh), "spellings")
         words = staged(word_counts(values, self._now("words")), "words")
         fields = staged(vacancy_fields(fresh.drop("key"), places, settings, values, words), "vacancies")
+        relieve(self.spark)
         entries = staged(contents(fields, days), "contents")
         texts, old = staged(spellings(entries), "texts"), self._now("texts")
         near = staged(near_spellings(texts, old.unionByName(texts).distinct()), "near")
         wanted = staged(asks(entries, near), "asks")
+        relieve(self.spark)
         new = prints(entries)
         no_id = F.lit(None).cast("long")
         both = new.select("fp", "slot", F.col("id").alias("has"), no_id.alias("asks")).unionByName(wanted.select("fp", "slot", no_id.alias("has"), F.col("id").alias("asks")))
@@ -269,12 +271,15 @@ class History:
         alike = pairs.filter(F.col("a_source").eqNullSafe(F.col("b_source")) & (F.col("a_rank") == F.col("b_rank")) & timely & spelled & (same_place("a", "b") > 0))
         roots = lowest_linked(alike.select(F.col("b").alias("a"), F.col("root").alias("b")).filter("a <> b"))
 
+        relieve(self.spark)
+
         # Postings of one content and slot share an entry.
         slot = F.floor(F.col("at") / F.lit(days * DAY)).cast("long")
         rooted = entries.join(roots, "id", "left").select(*CONTENT, "slot", "id", F.coalesce("root", "id").alias("root"))
         on = [fields[c].eqNullSafe(rooted[c]) for c in CONTENT] + [slot == rooted["slot"]]
         led = fields.join(rooted, on, "left").select(fields["id"], F.least(fields["id"], F.coalesce(rooted["root"], fields["id"])).alias("root"))
         told = staged(known.unionByName(led), "roots")
+        relieve(self.spark)
 
         # Store, filters, spellings and words take the delivery in.
         blank = {c: F.lit(None).cast("string") for c in ("title", "rank", "company", "place")} | {c: F.lit(None).cast("long") for c in ("place_id", "first", "last")}
@@ -294,7 +299,9 @@ class History:
         discard(values, words, fields, entries, texts, near, wanted)
         lowest = firsts.join(told, "id").select(F.col("source").alias("_s"), F.col("key").alias("_k"), "root")
         same_posting = rows["source"].eqNullSafe(lowest["_s"]) & rows["key"].eqNullSafe(lowest["_k"])
-        return staged(rows.join(lowest, same_posting).filter("id > root").select("id", "root").distinct(), "repeats")
+        repeated = staged(rows.join(lowest, same_posting).filter("id > root").select("id", "root").distinct(), "repeats")
+        relieve(self.spark)
+        return repeated
 
 
 def repeats(rows: DataFrame, places: DataFrame, settings: DataFrame, deliveries: list, path: str, days: int = 10) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.places import ACCENTED, map_places, match_names
 from tidewell.operators.time_forms import normalise_times
-from tidewell.session import staged
+from tidewell.session import relieve, staged
 
 # Short forms in titles.
 SHORT = {
@@ -102,6 +102,7 @@ def vacancy_fields(rows: DataFrame, places: DataFrame, settings: DataFrame, valu
     values = staged(spellings_of(rows), "spellings") if values is None else values
     counts = staged(word_counts(values), "words") if counts is None else counts
     fixed = staged(mended(values, counts), "mended")
+    relieve(rows.sparkSession)
     lits = lambda words: F.array(*(F.lit(w) for w in words))
     joined = lambda words: F.concat_ws(" ", F.array_sort(F.array_distinct(words)))
     title = fixed.filter("kind = 'title'").select(
