@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewell.llm import history as H
+from tidewell.llm import matching as M
 from tidewell.session import relieve
 
 SCHEMA = "id long, source string, title string, rank string, company string, place_id long, place string, at long"
@@ -32,3 +33,9 @@ def test_a_delivery_frees_memory_between_its_plans(spark, tmp_path, monkeypatch)
     rows = _fields(spark).withColumns({"key": F.concat(F.lit("k"), "id"), "location_raw": F.col("place"), "posted_at_raw": F.lit(None).cast("string"), "scraped_at": F.timestamp_micros("at")})
     found = H.repeats(rows, None, None, [F.lit(True)], f"{tmp_path}/h")
     assert {(r.id, r.root) for r in found.collect()} == {(2, 0), (4, 0), (3, 1), (5, 1)} and len(calls) >= 3
+
+
+def test_matching_frees_memory_between_its_plans(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(M, "relieve", calls.append)
+    assert M.match_across(_fields(spark)).count() == 9 and len(calls) >= 4

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.vacancies import same_place
-from tidewell.session import staged
+from tidewell.session import relieve, staged
 
 DAY = 86_400_000_000
 #: Steps of each similarity on the grid.
@@ -121,7 +121,9 @@ def match_across(rows: DataFrame, days: int = 10, rounds: int = 5) -> DataFrame:
     them. confidence: posterior of being matched, after transitivity. Rows without any time, and empty tables, give
     no pair; rows given twice must have ids of their own."""
     spark = rows.sparkSession
+    relieve(spark)
     pairs = staged(similarities(candidates(rows, days), rows, days).select("a", "b", *FEATURES, _cell()), "similarities")
+    relieve(spark)
     # The vectors that occur: at most 6 x 6 x 3 x 2 x 21, by the steps that features have.
     cells = pairs.groupBy(*FEATURES, "cell").count().toPandas()
     if not len(cells):
@@ -141,6 +143,7 @@ def match_across(rows: DataFrame, days: int = 10, rounds: int = 5) -> DataFrame:
     grid = cells[list(FEATURES)].to_numpy(float)
     mixture = mixture.on(grid, cells["count"].to_numpy(float))
     triangles = staged(_triangles(pairs).join(pairs.select("a", "b", "cell"), ["a", "b"]), "triangles")
+    relieve(spark)
 
     def moves() -> DataFrame:
         """(a, b, cell, move): how far constraints move posteriors; of several each way the furthest."""
@@ -158,6 +161,7 @@ def match_across(rows: DataFrame, days: int = 10, rounds: int = 5) -> DataFrame:
         mixture.post = np.array([min(max(p + moved.get(c, 0.0) / n, 0.0), 1.0) for c, p, n in zip(cells["cell"], mixture.post, cells["count"])])
         mixture.maximise()
         mixture.expect()
+        relieve(spark)
         if np.abs(mixture.post - before).max() < 1e-4:
             break
     scored = pairs.join(F.broadcast(posteriors()), "cell").join(moves().select("a", "b", "move"), ["a", "b"], "left")
